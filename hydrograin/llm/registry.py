@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import simhash
+from . import bpe, decontaminate, quality, secrets, simhash
 
-_MODULES = (simhash,)
+_MODULES = (simhash, bpe, secrets, quality, decontaminate)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
