@@ -19,6 +19,7 @@ from .shared import SPACE, read_table
 SAMPLE_ROWS = 2_000
 
 _SYMBOLS = "#*$%&|<>"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÍÓ"
 _WINDOW = 3
 
 
@@ -34,58 +35,62 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _repeated(words: Column) -> Column:
-    """Words inside a window of three that is found twice or more, the first one included."""
-    n = F.size(words)
-    grams = F.when(
-        n > _WINDOW,
-        F.transform(F.sequence(F.lit(0), n - _WINDOW), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return grams
+def _let(value: Column, use) -> Column:
+    """use(value), with the value evaluated once however often it is named, also inside further lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _covered(grams: Column) -> Column:
-    """From the windows' hashes: words in repeated windows. Sorted, equal windows stand next to each other."""
+def _grams(words: Column) -> Column:
+    """A hash of each window of three words."""
+    return _let(
+        words,
+        lambda w: F.when(
+            F.size(w) >= _WINDOW,
+            F.transform(F.sequence(F.lit(0), F.size(w) - _WINDOW), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
+
+
+def _repeated_at(grams: Column) -> Column:
+    """Ascending places of the windows found twice or more. Sorted by hash, equal ones stand next to each other."""
     ranked = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
 
-    def run(r: Column) -> Column:
-        return F.sort_array(
-            F.transform(
-                F.filter(
-                    r,
-                    lambda s, k: ((k > 0) & (F.get(r, k - 1)["g"] == s["g"])) | ((k + 1 < F.size(r)) & (F.get(r, k + 1)["g"] == s["g"])),
-                ),
-                lambda s: s["i"],
-            )
-        )
-
-    hit = F.get(F.transform(F.array(ranked), run), F.lit(0))
-    spans = F.get(
-        F.transform(F.array(hit), lambda p: F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.struct(F.lit(_WINDOW).alias("n"), F.get(p, F.lit(0)).alias("last")), lambda a, x: F.struct((a["n"] + F.least(x - a["last"], F.lit(_WINDOW))).alias("n"), x.alias("last")), lambda a: a["n"])),
-        F.lit(0),
-    )
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(spans)
+    def twice(r: Column) -> Column:
+        same = lambda k, s: F.coalesce(F.get(r, k)["g"] == s["g"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(r, lambda s, k: same(k - 1, s) | same(k + 1, s)), lambda s: s["i"]))
+
+    return _let(ranked, twice)
+
+
+def _covered(grams: Column) -> Column:
+    """Words inside a window that is found twice or more, the first one included."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-_WINDOW).alias("last"))
+
+    def step(a: Column, at: Column) -> Column:
+        return F.struct((a["n"] + F.least(at - a["last"], F.lit(_WINDOW))).alias("n"), at.alias("last"))
+
+    several = F.aggregate(_repeated_at(grams), start, step, lambda a: a["n"])
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(several)
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """docs with the measures of each whole text; a null text has no words, lines or characters.
 
-    Columns are prefixed with `q_`; extra columns of docs stay as they are.
+    Columns are prefixed with `q_`; extra columns of docs stay as they are. The measures come out of a
+    one-row generator, so that the optimiser doesn't copy them into every rule that names them.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.withColumn("q_words", _words(text)).withColumn("q_lines", _lines(text)).withColumn("q_grams", _repeated(F.col("q_words")))
-    return df.select(
-        *docs.columns,
-        F.size("q_words").cast("long").alias("q_n_words"),
-        (F.length(text) - _without(text, SPACE)).cast("long").alias("q_word_chars"),
-        _without(text, _SYMBOLS).cast("long").alias("q_n_symbols"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("q_n_dup_lines"),
-        F.size("q_lines").cast("long").alias("q_n_lines"),
-        _covered(F.col("q_grams")).cast("long").alias("q_n_repeat_words"),
-        _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÍÓ").cast("long").alias("q_upper"),
-    )
-
-
+    df = docs.withColumn("q_words", _words(text)).withColumn("q_lines", _lines(text)).withColumn("q_grams", _grams(F.col("q_words")))
+    found = {
+        "q_n_words": F.size("q_words"),
+        "q_word_chars": F.length(F.translate(text, SPACE, "")),
+        "q_n_symbols": _without(text, _SYMBOLS),
+        "q_n_dup_lines": F.size("q_lines") - F.size(F.array_distinct("q_lines")),
+        "q_n_lines": F.size("q_lines"),
+        "q_n_repeat_words": _covered(F.col("q_grams")),
+        "q_upper": _without(text, _CAPITALS),
+    }
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*(c.cast("long").alias(k) for k, c in found.items())))))
 
 
 def rules() -> dict[str, Column]:

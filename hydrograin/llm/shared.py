@@ -53,9 +53,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low.repartition(F.col("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.join(low.repartition(F.xxhash64("u")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e.join(low.repartition(F.col("m")), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = e.join(low.repartition(F.xxhash64("u")), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
         after = _pair_hash(e)
         if after == before:

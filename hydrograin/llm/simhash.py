@@ -202,8 +202,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, n_bits: int = 64, blocks: tup
     keyed = points.withColumn("node", F.xxhash64("fp"))
     of_node = keyed.join(component, "node", "left").select("fp", "id", F.coalesce("component", "node").alias("c"))
     lowest = of_node.groupBy("c").agg(F.min("id").alias("component_id"))
-    by_fp = of_node.join(lowest.repartition(F.col("component_id")), "c").select("fp", "component_id")
-    return fps.join(by_fp.repartition(F.col("component_id")), "fp", "left").select("doc_id", "fp", "component_id")
+    by_fp = of_node.join(lowest.repartition(F.xxhash64("c")), "c").select("fp", "component_id")
+    return fps.join(by_fp.repartition(F.xxhash64("fp")), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def wide_distance(similarity: float, n_bits: int = 384) -> int:
