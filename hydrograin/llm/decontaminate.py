@@ -81,6 +81,13 @@ def scan(text: str | None, automaton) -> tuple[int, list[int], list[str], list[t
     return len(w), at.tolist(), sorted(items), word_spans(text, at)
 
 
+def occurs(text: str | None, automaton) -> bool:
+    """Whether any window occurs in the text."""
+    if automaton is None or not (w := words_of(text)):
+        return False
+    return next(automaton.iter((b" " + b" ".join(w) + b" ").decode("latin-1")), None) is not None
+
+
 def _parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
     """The items in parts of bounded size, so that neither driver nor executors hold more than one."""
     part, size = [], 0
@@ -136,6 +143,22 @@ def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window of an item."""
+    spark, kept = docs.sparkSession, docs
+    at = docs.columns.index("text")
+    for part in _parts(benchmark, limit):
+        shared = spark.sparkContext.broadcast(_automaton(part, width))
+
+        def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not occurs(t, automaton) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        kept = kept.mapInArrow(of, docs.schema)
+    return kept
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
