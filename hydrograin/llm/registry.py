@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, pii, quality, secrets, simhash, toxicity
 
-_MODULES = (simhash, bpe, toxicity, secrets, quality, decontaminate)
+_MODULES = (bpe, decontaminate, pii, quality, secrets, simhash, toxicity,)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
