@@ -65,3 +65,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of a folder that Spark names by URI; file:, hdfs:, s3:, gs: and abfs: are known to Arrow."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or not _:
+        return LocalFileSystem(), "/" + (rest if _ else uri).lstrip("/")
+    return FileSystem.from_uri(uri.replace("s3a:", "s3:", 1).replace("s3n:", "s3:", 1))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one."""
+    uri = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    fs, path = filesystem(uri)
+    fs.create_dir(path)
+    return uri
