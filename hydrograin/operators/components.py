@@ -24,8 +24,7 @@ def label_components(mask: DataFrame, connectivity: int = 8, key: str = "aoi_id"
     no area has to fit into one task.
     """
     at = mask.withColumn("_n", F.col("row").cast("long") * (1 << 31) + F.col("col")).withColumn("_k", F.xxhash64(key, "_n"))
-    steps = F.explode(F.array(*[F.lit(dr * (1 << 31) + dc) for dr, dc in _LATER[connectivity]]))
-    ahead = at.select(key, "_k", (F.col("_n") + steps).alias("_n"))
+    ahead = at.select(key, "_k", F.explode(F.array(*[F.col("_n") + F.lit(dr * (1 << 31) + dc) for dr, dc in _LATER[connectivity]])).alias("_n"))
     edges = ahead.select(key, "_n", F.col("_k").alias("a")).join(at.select(key, "_n", F.col("_k").alias("b")), [key, "_n"]).select("a", "b")
     found = at.join(connected_components(edges).withColumnRenamed("node", "_k"), "_k", "left").withColumn("_c", F.coalesce("component", "_k")).drop("component")
     first = found.groupBy(key, "_c").agg(F.min("_n").alias("_first"))
@@ -84,8 +83,8 @@ def polygons(labelled: DataFrame, grid: DataFrame, key: str = "aoi_id") -> DataF
     pixel_count is that of the whole component. Each part is traced by itself, so a task holds one part.
     """
     size = labelled.groupBy(key, "component").agg(F.count("*").alias("pixel_count"))
-    within = labelled.select(F.concat_ws(":", key, "component").alias("_part_of"), key, F.col("component").alias("_c"), "row", "col")
-    split = label_components(within, 4, "_part_of").withColumnRenamed("component", "part").withColumnRenamed("_c", "component")
+    within = labelled.select(F.concat_ws(":", key, "component").alias("_part_of"), key, F.col("component").alias("_whole"), "row", "col")
+    split = label_components(within, 4, "_part_of").withColumnRenamed("component", "part").withColumnRenamed("_whole", "component")
     placed = split.join(grid.select(key, "origin_x", "origin_y", "px_w", "px_h"), key)
 
     def trace(part: pd.DataFrame) -> pd.DataFrame:
