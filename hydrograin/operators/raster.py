@@ -92,7 +92,7 @@ def otsu(cells: DataFrame, value: str, key: str = "aoi_id", bins: int = DEFAULT.
     split = F.col("split")
     return extent.select(key).join(best, key, "left").select(
         key,
-        F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), split)), F.lit((low + high) / 2)).alias("threshold"),
+        F.when(split.isNull(), (low + high) / 2).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), split))).alias("threshold"),
         F.when(split.isNull(), "fallback_no_data").when((split < low) | (split > high), "otsu_fallback").otherwise("otsu").alias("method"),
     )
 
@@ -150,8 +150,8 @@ def band_warnings(stats: DataFrame, nodata: float = 5.0, nonfinite: float = 1.0)
     """Bands with too many missing pixels, with the reasons in one text."""
     reason = F.concat_ws(
         "; ",
-        F.when(F.col("nodata_pct") > nodata, F.format_string(f"%s nodata=%.1f%%%%>{nodata:.0f}%%%%", "band", "nodata_pct")),
-        F.when(F.col("nonfinite_pct") > nonfinite, F.format_string(f"%s non-finite=%.2f%%%%>{nonfinite:.0f}%%%%", "band", "nonfinite_pct")),
+        F.when(F.col("nodata_pct") > nodata, F.format_string(f"%s nodata=%.1f%%>{nodata:.0f}%%", "band", "nodata_pct")),
+        F.when(F.col("nonfinite_pct") > nonfinite, F.format_string(f"%s non-finite=%.2f%%>{nonfinite:.0f}%%", "band", "nonfinite_pct")),
     )
     return stats.withColumn("reason", reason).where("reason != ''")
 
