@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,10 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .shared import read_table
 
-#: Chunks of text, and pairs of tokens, that a worker remembers before it starts anew.
+#: Chunks of text, and pieces of these, that a worker remembers before it starts anew; pairs of tokens: four times as many.
 REMEMBERED = 200_000
 
 #: What Unicode calls white space; unlike str.split() without U+001C to U+001F.
@@ -65,6 +65,9 @@ class Bpe:
         self._suffixes.make_automaton()
         self._fits: dict[int, bool] = {}
         self._known: dict[str, tuple[list[int], str]] = {}
+        self._words: dict[str, list[int]] = {}
+        # Unicode tables differ from version to version: beyond ASCII the library's own decide on normal forms and pieces.
+        self._library = Tokenizer.from_str(spec)
 
     def _symbols(self, token: str) -> str:
         """One character per symbol: the byte, plus 256 where the word ends."""
@@ -101,10 +104,10 @@ class Bpe:
             known = self._fits[key] = self._stays(a, b, float("inf"), float("inf"))
         return known
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one piece of the pre-tokenizer."""
-        raw = word.encode()
-        s = raw[:-1].decode("latin-1") + chr(raw[-1] + 256)
+    def encode_word(self, s: str) -> list[int]:
+        """Ids of one piece of the pre-tokenizer, given as symbols."""
+        if (known := self._words.get(s)) is not None:
+            return known
         last = [-1] * (len(s) + 1)
         size = [0] * (len(s) + 1)
         for end, (n, t) in self._suffixes.iter(s):
@@ -115,13 +118,21 @@ class Bpe:
         while end:
             ids.append(last[end])
             end -= size[end]
-        return ids[::-1]
+        ids.reverse()
+        if len(s) < 64:
+            if len(self._words) >= REMEMBERED:
+                self._words.clear()
+            self._words[s] = ids
+        return ids
 
-    def _normal(self, text: str) -> str:
+    def _pieces(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces as symbols: one character per byte, plus 256 for the last."""
         if text.isascii():
-            return text.lower()
-        # Character by character: no rule for a final sigma.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            raw = self._piece.findall(text.lower())
+        else:
+            found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+            raw = ["".join([self._bytes[c] for c in piece]) for piece, _ in found]
+        return [w[:-1] + chr(ord(w[-1]) + 256) for w in raw]
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of text without white space."""
@@ -129,8 +140,8 @@ class Bpe:
         for part in self._special.split(chunk) if self._special and "<" in chunk else [chunk]:
             if part in self.specials:
                 ids.append(self.specials[part])
-            else:
-                for word in self._piece.findall(self._normal(part)):
+            elif part:
+                for word in self._pieces(part):
                     ids += self.encode_word(word)
         return ids
 
