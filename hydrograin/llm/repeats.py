@@ -33,7 +33,7 @@ from .shared import filesystem, new_folder, read_table, stage
 #: Bytes of a string that counts as repeated, and of its anchors.
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a block, and bytes of text per bucket that anchors and contexts are dealt to.
-BLOCK, BUCKET, LEAST_BUCKETS = 8_000_000, 8_000_000, 64
+BLOCK, BUCKET, LEAST_BUCKETS = 4_000_000, 4_000_000, 64
 
 _LAST = np.iinfo(np.int64).max
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
