@@ -1,72 +1,23 @@
-"""Helpers that several corpus operators use: shared-folder tables, words, components."""
+"""Helpers that several corpus operators use."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: ASCII white space, the only separators of the corpus contracts.
-SPACE = " \t\n\x0b\x0c\r"
 
+from ..operators.tables import connected_components, shared_folder, stage
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hydrograin-"))
-    return sc.getCheckpointDir()
+__all__ = ["SPACE", "connected_components", "filesystem", "new_folder", "read_table", "shared_folder", "stage"]
 
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space, the only separators of the corpus contracts.
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pair_hash(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node in edges (a, b), component being the smallest node reachable.
-
-    Alternates the large-star and small-star steps until the edge set is a forest of stars. Every
-    step is a min() with map-side combine and one join; the per-node minima are dealt anew before
-    that join so that AQE can split the partition of a hub.
-    """
-    e = stage(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    before = _pair_hash(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low.repartition(F.xxhash64("u")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e.join(low.repartition(F.xxhash64("u")), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
-        after = _pair_hash(e)
-        if after == before:
-            break
-        before = after
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        roots.select("node", F.col("node").alias("component"))
-    )
-
-
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a folder that Spark names by URI; file:, hdfs:, s3:, gs: and abfs: are known to Arrow."""
     from pyarrow.fs import FileSystem, LocalFileSystem
