@@ -29,9 +29,11 @@ BLOCKS_64 = ((0, 32, 1), (32, 32, 1))
 #: Sixteen trees over 384 bits for similarities from 0.8: see wide_similarity().
 BLOCKS_384 = tuple((24 * k, 24, 1) for k in range(16))
 #: Fingerprints that a leaf aims at, and the most that one side of a comparison holds.
-LEAF, CHUNK = 512, 1024
-#: The list of leaves over CHUNK is broadcast up to this many rows, and joined by a shuffle beyond.
-BROADCAST_LEAVES = 10_000
+LEAF, CHUNK = 4_096, 16_384
+#: The list of leaves over CHUNK is broadcast up to this many rows; with more of them the trees grow deeper.
+BROADCAST_LEAVES = 500_000
+#: What a level leaves of a shard, overlaps included, for evenly spread fingerprints.
+SHRINK = 0.58
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -141,46 +143,74 @@ def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, block: tuple[i
 def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of points (id, fp) at `most` or fewer differing bits.
 
-    points: one row per distinct fingerprint. Leaves above `chunk` points are compared block by block,
-    so no task holds more than two chunks; every comparison returns a spanning forest, not all pairs.
+    points: one row per distinct fingerprint. They travel packed, one binary per leaf and batch. Leaves above
+    `chunk` points are compared part by part, so no task holds more than two parts; every comparison returns a
+    spanning forest, not all pairs.
     """
     points = points.select("id", "fp")
-    depth = max(0, math.ceil(math.log2(max(1, points.count()) / leaf)))
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    depth = max(0, math.ceil(math.log(max(1, points.count()) / leaf) / -math.log(SHRINK)))
+
+    def leaves(b: pa.RecordBatch, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(tree, leaves, rows of the batch in them), in order of leaves."""
+        octets = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+        for tree, (first, bits, radius) in enumerate(blocks):
+            row, node = route(_block(octets, first, bits), tree, bits, radius, depth)
+            order = np.argsort(node, kind="stable")
+            yield tree, node[order].astype(np.int64), row[order]
+
+    def large_leaves(depth: int) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for tree, node, _ in leaves(b, depth) if b.num_rows else ():
+                    at, n = np.unique(node, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, dtype=np.int32)), pa.array(at), pa.array(n)], ["tree", "node", "n"])
+
+        counted = points.mapInArrow(count, "tree int, node long, n long").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+        return stage(counted.where(F.col("n") > chunk))
+
+    large = large_leaves(depth)
+    while large.count() > BROADCAST_LEAVES and depth < 60:
+        depth += 1
+        large = large_leaves(depth)
+    parts = {(r["tree"], r["node"]): -(-r["n"] // chunk) for r in large.toLocalIterator()}
+    parts = points.sparkSession.sparkContext.broadcast(parts)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
+            ids = b.column(0).to_numpy()
             octets = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
-            for tree, (first, bits, radius) in enumerate(blocks):
-                row, node = route(_block(octets, first, bits), tree, bits, radius, depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), tree, dtype=np.int32)), pa.array(node.astype(np.int64)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))],
-                    ["tree", "node", "id", "fp"],
-                )
-
-    routed = points.mapInArrow(shards, "tree int, node long, id long, fp binary")
-    large = stage(routed.groupBy("tree", "node").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
-    large = large.select("tree", "node", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
-    large = F.broadcast(large) if large.count() <= BROADCAST_LEAVES else large
-    dealt = routed.join(large, ["tree", "node"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    sides = dealt.groupBy("tree", "node", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(
-        F.collect_list(F.struct("id", (F.col("c") == F.greatest("c", "o")).cast("int").alias("side"), "fp")).alias("rows")
-    )
+            packed = np.hstack([ids.astype("<i8").view(np.uint8).reshape(-1, 8), octets])
+            out: list[tuple] = []
+            for tree, node, row in leaves(b, depth):
+                cuts = np.flatnonzero(np.diff(node)) + 1
+                for at, rows in zip(np.split(node, cuts), np.split(row, cuts)):
+                    k = parts.value.get((tree, int(at[0])), 1)
+                    if k == 1:
+                        out.append((tree, int(at[0]), 0, 0, 0, packed[rows].tobytes()))
+                        continue
+                    own = ids[rows] % k
+                    for c in range(k):
+                        if len(mine := packed[rows[own == c]]):
+                            out += [(tree, int(at[0]), min(c, o), max(c, o), int(c > o), mine.tobytes()) for o in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["tree", "node", "i", "j", "side", "blob"])
+
+    packed = points.mapInArrow(pack, "tree int, node long, i int, j int, side int, blob binary")
+    sides = packed.groupBy("tree", "node", "i", "j").agg(F.collect_list(F.struct("side", "blob")).alias("rows"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
-            trees, i, j, rows = (b.column(k) for k in range(4))
-            starts, flat = rows.offsets.to_numpy(), rows.values
-            ids, side = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            octets = np.frombuffer(b"".join(flat.field(2).to_pylist()), dtype=np.uint8)
-            octets = octets.reshape(len(ids), -1) if len(ids) else octets
             for k in range(b.num_rows):
-                if (hi := starts[k + 1]) - (lo := starts[k]) > 1:
-                    found += _links(ids[lo:hi], side[lo:hi], octets[lo:hi], blocks[trees[k].as_py()], most, i[k].as_py() != j[k].as_py())
+                tree, i, j, rows = (b.column(c)[k].as_py() for c in range(4))
+                width = 8 + (max(first + bits for first, bits, _ in blocks) + 7) // 8
+                blobs = [np.frombuffer(r["blob"], dtype=np.uint8).reshape(-1, width) for r in rows]
+                side = np.concatenate([np.full(len(x), r["side"]) for x, r in zip(blobs, rows)])
+                every = np.concatenate(blobs)
+                if len(every) > 1:
+                    ids = np.ascontiguousarray(every[:, :8]).view("<i8").ravel()
+                    found += _links(ids, side, np.ascontiguousarray(every[:, 8:]), blocks[tree], most, i != j)
             if found:
                 a, c = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
