@@ -214,7 +214,8 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         hits = [h[again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h] if len(again) else h[:0] for h in hs]
         return pd.DataFrame({"block": rows["block"], "h": [_pack(h) for h in hits]})[[len(h) > 0 for h in hits]]
 
-    sent = blocks.select("block").repartition(F.xxhash64("block")).mapInArrow(send, "bucket long, block string, h binary, several binary")
+    # A task per block: names are small, and AQE would put all of them into one partition but for the number.
+    sent = blocks.select("block").repartition(max(1, blocks.count())).mapInArrow(send, "bucket long, block string, h binary, several binary")
     return sent.groupBy("bucket").applyInPandas(meet, "block string, h binary")
 
 
