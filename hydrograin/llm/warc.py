@@ -209,7 +209,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, _PAGES)
 
-    found = archives.select("archive").repartition(F.xxhash64("archive")).mapInArrow(pieces, _PIECE)
+    # A task per archive: names are small, and AQE would put all of them into one partition but for the number.
+    found = archives.select("archive").repartition(max(1, archives.count())).mapInArrow(pieces, _PIECE)
     single = found.where("number IS NULL").mapInArrow(whole, _PAGE)
     segments = found.where("number IS NOT NULL").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "total", "page_id", "kind", "digest", "block"))).alias("parts")
