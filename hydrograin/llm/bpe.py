@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -23,8 +22,14 @@ from tokenizers import Tokenizer
 from .shared import read_table
 
 #: Chunks of text, and pieces of these, that a worker remembers before it starts anew; pairs of tokens: four times as many.
-REMEMBERED = 200_000
-
+REMEMBERED = 400_000
+
+#: Texts of these characters alone (below U+0250) are in normal form, and lower-case letter by letter.
+_BEYOND = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+#: The pre-tokenizer's pattern that _PIECE stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What Unicode calls white space; unlike str.split() without U+001C to U+001F.
 _BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
@@ -38,6 +43,11 @@ def _byte_chars() -> list[str]:
     return [chr(b if b in kept else next(spare)) for b in range(256)]
 
 
+def latin_pieces(text: str) -> list[str] | None:
+    """The pre-tokenizer's pieces of a text below U+0250 without special tokens, in lower case; None for other texts."""
+    return None if "<|" in text or _BEYOND.search(text) else _PIECE.findall(text.lower())
+
+
 class Bpe:
     """Encoder and decoder for a tokenizers file of the word-end, byte-level kind."""
 
@@ -45,7 +55,8 @@ class Bpe:
         data = json.loads(spec)
         self.specials = {x["content"]: x["id"] for x in data["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self._piece = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError("the file has another pre-tokenizer")
         vocab: dict[str, int] = data["model"]["vocab"]
         self.tokens = {i: t for t, i in (vocab | self.specials).items()}
         self._bytes = {c: chr(b) for b, c in enumerate(_byte_chars())}
@@ -65,7 +76,7 @@ class Bpe:
         self._suffixes.make_automaton()
         self._fits: dict[int, bool] = {}
         self._known: dict[str, tuple[list[int], str]] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[list[int], str]] = {}
         # Unicode tables differ from version to version: beyond ASCII the library's own decide on normal forms and pieces.
         self._library = Tokenizer.from_str(spec)
 
@@ -106,8 +117,6 @@ class Bpe:
 
     def encode_word(self, s: str) -> list[int]:
         """Ids of one piece of the pre-tokenizer, given as symbols."""
-        if (known := self._words.get(s)) is not None:
-            return known
         last = [-1] * (len(s) + 1)
         size = [0] * (len(s) + 1)
         for end, (n, t) in self._suffixes.iter(s):
@@ -119,21 +128,8 @@ class Bpe:
             ids.append(last[end])
             end -= size[end]
         ids.reverse()
-        if len(s) < 64:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            self._words[s] = ids
         return ids
 
-    def _pieces(self, text: str) -> list[str]:
-        """The pre-tokenizer's pieces as symbols: one character per byte, plus 256 for the last."""
-        if text.isascii():
-            raw = self._piece.findall(text.lower())
-        else:
-            found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
-            raw = ["".join([self._bytes[c] for c in piece]) for piece, _ in found]
-        return [w[:-1] + chr(ord(w[-1]) + 256) for w in raw]
-
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of text without white space."""
         ids: list[int] = []
@@ -141,28 +137,38 @@ class Bpe:
             if part in self.specials:
                 ids.append(self.specials[part])
             elif part:
-                for word in self._pieces(part):
-                    ids += self.encode_word(word)
+                for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part)):
+                    ids += self.encode_word("".join([self._bytes[c] for c in piece[:-1]]) + chr(ord(self._bytes[piece[-1]]) + 256))
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """As the library does without a decoder: the tokens, joined by spaces."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
-    def _of(self, chunk: str) -> tuple[list[int], str]:
-        ids = self.encode_chunk(chunk)
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        if len(chunk) < 64:
-            self._known[chunk] = ids, self.decode(ids)
-        return ids, self.decode(ids)
+    def _keep(self, known: dict, key: str, ids: list[int]) -> tuple[list[int], str]:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        found = ids, self.decode(ids)
+        if len(key) < 64:
+            known[key] = found
+        return found
+
+    def _of_chunk(self, chunk: str) -> tuple[list[int], str]:
+        return self._keep(self._known, chunk, self.encode_chunk(chunk))
+
+    def _of_piece(self, piece: str) -> tuple[list[int], str]:
+        raw = piece.encode()
+        return self._keep(self._words, piece, self.encode_word(raw[:-1].decode("latin-1") + chr(raw[-1] + 256)))
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
         """(ids, decoded text) of a whole text."""
         text = text or ""
-        chunks = [c for c in _BLANK.split(text) if c] if _ODD_BLANK.search(text) else text.split()
-        known, of = self._known.get, self._of
-        parts = [known(c) or of(c) for c in chunks]
+        if (pieces := latin_pieces(text)) is not None:
+            known, of = self._words.get, self._of_piece
+        else:
+            pieces = [c for c in _BLANK.split(text) if c] if _ODD_BLANK.search(text) else text.split()
+            known, of = self._known.get, self._of_chunk
+        parts = [known(c) or of(c) for c in pieces]
         return [i for ids, _ in parts for i in ids], " ".join([d for ids, d in parts if ids])
 
 
