@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import vocabulary
+from .bpe import latin_pieces, vocabulary
 from .shared import filesystem, new_folder, read_table, stage
 
 #: Documents that the dictionary is trained on, at most (those with the smallest hash of their id), and their
@@ -28,37 +28,51 @@ from .shared import filesystem, new_folder, read_table, stage
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY = 2_000, 16_000_000, 65_536
 #: Compressed bytes that a shard aims at.
 SHARD = 16_000_000
-#: Chunks of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Pieces whose ids a worker remembers before it starts anew.
+REMEMBERED = 500_000
 MAGIC = b"HGTOK1"
 END_ID = 1
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library, which is asked once for each chunk between white space."""
+    """Ids of whole texts from the tokenizers library, which is asked once for each piece that its pre-tokenizer cuts.
+
+    Many new pieces go to it in one text, between spaces; the tokens that end a word part their ids again. Texts
+    with other than Latin letters or with special tokens go to it as they are.
+    """
 
     def __init__(self, spec: str) -> None:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
+        size = self.library.get_vocab_size()
+        self.width = "<u2" if size <= 65_536 else "<u4"
+        self._ends = np.zeros(size, dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self._ends[i] = token.endswith("</w>")
         self._known: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=self.width)
+        raw, width = ids.tobytes(), ids.itemsize
+        cuts = [0, *((np.flatnonzero(self._ends[ids]) + 1) * width).tolist()]
+        self._known.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Serialized ids of each text; a null text counts as empty. Chunks are cut at spaces and line ends only."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        """Serialized ids of each text; a null text counts as empty."""
+        split = [latin_pieces(t or "") for t in texts]
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        new = list({c for chunks in split for c in chunks if c not in self._known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self._known[c] = np.array(e.ids, dtype=self.width).tobytes()
         known = self._known
-        found = [b"".join([known[c] for c in chunks]) for chunks in split]
-        for c in new:
-            if len(c) > 64:
-                del known[c]
+        new = list({p for pieces in split for p in pieces or () if p not in known})
+        for at in range(0, len(new), 4096):
+            self._learn(new[at : at + 4096])
+        whole = [t for t, pieces in zip(texts, split) if pieces is None]
+        rest = iter(self.library.encode_batch(whole, add_special_tokens=False) if whole else ())
+        found = [np.array(next(rest).ids, dtype=self.width).tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for pieces in split]
+        for p in new:
+            if len(p) > 64:
+                del known[p]
         return found
 
 
