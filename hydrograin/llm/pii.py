@@ -5,7 +5,8 @@ depends only on a key, the kind and the normal form, so that it is the same wher
 (coreference), in whatever format it is written. A surrogate keeps the kind's format: digits stay digits,
 letters stay letters of the same case and script, punctuation stays, check digits of card numbers keep their
 validity, names keep title, gender and number of parts. Surrogates that meet one another, or an entity that
-occurs, are drawn again until all are distinct.
+occurs, are drawn again until all are distinct. E-mail addresses and names gain letters with each draw, so that
+there are always enough of them; numbers have no more surrogates than their digits allow.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 _ENDINGS = {"latin": {"m": "on", "f": "ia", "n": "is"}, "cyrillic": {"m": "ов", "f": "ова", "n": "их"}}
 _CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст"}
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
+#: Letters (of a domain) or syllables (of a name) that further draws add at most: 19 ** 12 domain labels.
+GROWTH = 12
+#: Draws after which numbers that still have no surrogate are taken to have none.
+DRAWS = 200
 
 
 def _located(text: Column) -> Column:
@@ -98,12 +103,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _name(normal: Column, seed: Column) -> Column:
+def _name(normal: Column, seed: Column, more: int) -> Column:
     gender, words = F.substr(normal, F.lit(1), F.lit(1)), F.split(F.substr(normal, F.lit(3), F.length(normal)), r"(?<=[\x20-])")
 
     def word(w: Column, i: Column, script: str) -> Column:
         c, v = F.lit(_CONSONANTS[script]), F.lit(_VOWELS[script])
         stem = F.concat(F.initcap(_draw(seed, i * 8, c)), _draw(seed, i * 8 + 1, v), _draw(seed, i * 8 + 2, c), _draw(seed, i * 8 + 3, v), _draw(seed, i * 8 + 4, c))
+        for k in range(more):
+            stem = F.concat(stem, _draw(seed, i * 8 - 1000 * (k + 1), v), _draw(seed, i * 8 - 1000 * (k + 1) + 1, c))
         end = F.when(gender == "m", _ENDINGS[script]["m"]).when(gender == "f", _ENDINGS[script]["f"]).otherwise(_ENDINGS[script]["n"])
         return F.concat(stem, end, F.regexp_extract(w, r"([\x20-])$", 1))
 
@@ -111,11 +118,13 @@ def _name(normal: Column, seed: Column) -> Column:
     return F.array_join(F.transform(words, each), "")
 
 
-def _surrogate(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, normal, attempt.cast("string")), 256)
+def _surrogate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
+    seed, more = F.sha2(F.concat_ws("|", F.lit(key), kind, normal, F.lit(str(attempt))), 256), min(attempt, GROWTH)
     octets = F.transform(F.split(normal, r"\."), lambda o, i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string"))
     local = _characters(F.substring_index(normal, "@", 1), seed)
-    domain = F.concat(_characters(F.regexp_extract(normal, r"@(.*)\.[^.]*\.[^.]*$", 1), seed), F.lit("."))
+    letters = F.lit(_CONSONANTS["latin"] + _VOWELS["latin"])
+    label = F.concat(_characters(F.regexp_extract(normal, r"@(.*)\.[^.]*\.[^.]*$", 1), seed), *[_draw(seed, F.lit(-1 - k), letters) for k in range(more)])
+    domain = F.concat(label, F.lit("."))
     domain = F.concat(F.when(F.length(domain) > 1, domain).otherwise(""), F.lit("example."), F.substring_index(normal, ".", -1))
     digits = _characters(normal, seed)
     last = F.pmod(F.substr(digits, F.length(digits), F.lit(1)).cast("int") + _luhn(normal) - _luhn(digits), F.lit(10))
@@ -126,7 +135,7 @@ def _surrogate(kind: Column, normal: Column, key: str, attempt: Column) -> Colum
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
         .when(kind == "phone", phone)
-        .when(kind == "name", _name(normal, seed))
+        .when(kind == "name", _name(normal, seed, more))
         .otherwise(digits)
     )
 
@@ -135,13 +144,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, normal, surrogate) with distinct surrogates within a kind, none of them an entity that occurs.
 
     entities: (kind, normal), distinct. Of entities that draw the same surrogate the smallest keeps it;
-    the others, and those that drew an existing entity, draw again until none is left.
+    the others, and those that drew an existing entity, draw again until none is left. Numbers of which
+    so many occur that no free one is found raise an error.
     """
     entities = stage(entities.select("kind", "normal"))
     taken = entities.select("kind", F.regexp_replace("normal", "^[mfn]:", "").alias("low")).distinct()
     settled, left, attempt = None, entities, 0
     while True:
-        drawn = left.withColumn("surrogate", _surrogate(F.col("kind"), F.col("normal"), key, F.lit(attempt)))
+        drawn = left.withColumn("surrogate", _surrogate(F.col("kind"), F.col("normal"), key, attempt))
         drawn = drawn.withColumn("low", F.lower("surrogate")).join(taken, ["kind", "low"], "left_anti")
         if settled is not None:
             drawn = drawn.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -152,6 +162,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if left.isEmpty():
             return settled
+        if attempt >= DRAWS:
+            counts = {r["kind"]: r["count"] for r in left.groupBy("kind").count().collect()}
+            raise ValueError(f"no free surrogates after {attempt} draws, entities left by kind: {counts}")
 
 
 def _written(kind: Column, raw: Column, surrogate: Column) -> Column:

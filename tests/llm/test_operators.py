@@ -399,6 +399,17 @@ def test_surrogates_stay_distinct(spark):
     assert got == rows(pii.surrogates(entities, "k"), "kind", "normal", "surrogate") != rows(pii.surrogates(entities, "other"), "kind", "normal", "surrogate")
 
 
+def test_surrogates_grow_until_distinct(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWS", 30)
+    emails = ["...@a.com", "...@b.com", "_@example.com", "_@x.example.com", "_@y.example.com", *(f"{c}@{d}.de" for c in "abcdefghijklmno" for d in ("x", "y"))]
+    entities = spark.createDataFrame([("email", e) for e in emails], "kind string, normal string")
+    got = {r.normal: r.surrogate for r in pii.surrogates(entities, "k").collect()}
+    assert set(got) == set(emails) and len(set(got.values())) == len(emails) and not set(got.values()) & set(emails)
+    assert all(re.fullmatch(r"[^@]+@(?:[a-z]+\.)?example\.(?:com|de)", s) for s in got.values())
+    name = lambda attempt: spark.range(1).select(pii._surrogate(F.lit("name"), F.lit("f:anna-иванова"), "k", attempt)).first()[0]
+    assert re.fullmatch(r"[A-Z][a-z]{4}ia-[А-Я][а-я]{4}ова", name(0)) and re.fullmatch(r"[A-Z][a-z]{8}ia-[А-Я][а-я]{8}ова", name(2))
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 
