@@ -1,0 +1,112 @@
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least a bound: exact, by prefixes.
+
+Two sets at similarity t or more share at least ceil(t * n) of the n members of either. So under any one order of
+all shingles the first n - ceil(t * n) + 1 members of both, their prefixes, have a member in common: pairs that
+share none are never similar. Shingles that are frequent in a sample come last in the order, so that prefixes
+are of rare ones. Each candidate is then checked on the whole sets.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import connected_components, stage
+
+#: Documents whose shingles are counted for the order, and the most frequent ones that are broadcast.
+SAMPLE, FREQUENT = 5_000, 200_000
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The set of hashes of the text's shingles, ascending: words as in simhash.fingerprint()."""
+    words = (text or "").encode().lower().split()
+    grams = {b" ".join(g) for g in zip(*(words[i:] for i in range(width)))} if len(words) > width else {b" ".join(words)} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=len(grams)))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash ascending, count) of shingles that several documents of the sample have."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
+
+    counted = docs.select(F.col("text").cast("string")).limit(SAMPLE).mapInArrow(of, "token long").groupBy("token").count().where("count > 1")
+    rows = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    token, n = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def similar_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of all pairs of distinct sets at `similarity` or more. rows: (node, n, prefix, members)."""
+    points = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = stage(points.select("node", "n", F.posexplode("prefix").alias("at", "token")))
+    x, y = (tokens.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at")]) for s in "ab")
+    # The first member in common leaves enough behind it, and so do the sizes, or the pair isn't similar.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = most >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
+    found = x.join(y, "token").where((F.col("node_a") < F.col("node_b")) & enough)
+    found = stage(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    sets = stage(rows.select("node", "members").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    both = found.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2), b.column(3)):
+                p, q = np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) of every row, component_id being the smallest doc_id reachable over similar texts.
+
+    Texts of equal sets are one point; texts without words are equal. A row whose doc_id is null has the
+    component of its set, or null where no row with an id shares it.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = frequent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                prefixes = []
+                for s in sets:
+                    n = np.zeros(len(s), dtype=np.int64)
+                    if len(token):
+                        i = np.minimum(np.searchsorted(token, s), len(token) - 1)
+                        n = np.where(token[i] == s, count[i], 0)
+                    prefixes.append(s[np.lexsort((s, n))][: prefix_length(len(s), similarity)].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n", "prefix", "members"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, n int, prefix array<long>, members binary")
+    rows = stage(rows.withColumn("node", F.xxhash64("members")))
+    component = connected_components(similar_pairs(rows.where("doc_id IS NOT NULL"), similarity))
+    points = rows.groupBy("node").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
+    of_node = points.join(component, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
+    lowest = of_node.groupBy("c").agg(F.min("id").alias("component_id"))
+    by_node = of_node.join(lowest.repartition(F.xxhash64("c")), "c").select("node", "component_id")
+    return rows.select("doc_id", "node").join(by_node.repartition(F.xxhash64("node")), "node", "left").select("doc_id", "component_id")

@@ -26,8 +26,6 @@ from .shared import connected_components, read_table, stage
 
 #: (first bit, bits, radius) of each tree: exact for 3 differing bits of 64.
 BLOCKS_64 = ((0, 32, 1), (32, 32, 1))
-#: Sixteen trees over 384 bits for similarities from 0.8: see wide_similarity().
-BLOCKS_384 = tuple((24 * k, 24, 1) for k in range(16))
 #: Fingerprints that a leaf aims at, and the most that one side of a comparison holds.
 LEAF, CHUNK = 4_096, 16_384
 #: The list of leaves over CHUNK is broadcast up to this many rows; with more of them the trees grow deeper.

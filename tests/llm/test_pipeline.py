@@ -41,6 +41,31 @@ def test_stages(spark, folder):
     assert {r.doc_id: r.ids for r in seen["bpe"].collect()} == {r.doc_id: own.encode(r.text)[0] for r in seen["secret_scan"].collect()}
 
 
+def test_near_dedup_is_exact(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(12):
+        words = [f"wort{i}" for i in rng.integers(0, 10**6, 120)]
+        texts.append(" ".join(words))
+        for n in (1, 2, 3, 5):
+            near = list(words)
+            for at in rng.choice(120, n, replace=False):
+                near[at] = f"neu{k}"
+            texts.append(" ".join(near))
+    texts += [texts[0], None, ""]
+    grams = lambda t: {tuple((t or "").split()[i : i + 5]) for i in range(max(0, len((t or "").split()) - 4))}
+    sets = [grams(t) for t in texts]
+    of = list(range(len(texts)))
+    similar = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if similar(sets[i], sets[j])]
+    for _ in texts:
+        for i, j in links:
+            of[i] = of[j] = min(of[i], of[j])
+    df = spark.createDataFrame([(i, t, "de", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == [i for i in range(len(texts)) if of[i] == i] and 13 < len(got) < 50
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 7
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
