@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, stage
 
 #: Bytes of benchmark text in one broadcast automaton (about 100 times that in memory at most). Beyond it
-#: the items go to several automata, each scanned in turn, and the results are merged per document.
+#: the items go to several automata, each scanned in turn, and the results are merged per row.
 AUTOMATON_BYTES = 4_000_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -100,47 +100,70 @@ def _parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | N
     yield part
 
 
+def _scanned(rows: DataFrame, part: list[tuple[str, str | None]], width: int) -> DataFrame:
+    """The columns of SCHEMA for each of rows (row, doc_id, text) by the items of one part, and its row."""
+    shared = rows.sparkSession.sparkContext.broadcast(_automaton(part, width))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = [scan(t, automaton) for t in part.column(2).to_pylist()]
+                n, hit, items, spans = zip(*found) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([len(h) for h in hit], pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
+                        pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    ],
+                    ["row", "doc_id", "n_words", "n_hit", "hit_words", "items", "spans"],
+                )
+
+    return rows.mapInArrow(of, "row long, " + SCHEMA)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per document: n_words, n_hit, numbers of the hit words, items (as strings, sorted) and spans.
 
     Null and empty texts have no words; items with a null id are ignored; items that repeat an id count
-    once. With several automata (see AUTOMATON_BYTES) rows are merged by doc_id, which must then be unique.
+    once. With several automata (see AUTOMATON_BYTES) the documents are written with a row number, by which
+    the results are merged: rows that repeat a doc_id, or have none, stay apart.
     """
-    spark = docs.sparkSession
-    found: DataFrame | None = None
-    for part in _parts(benchmark, limit):
-        shared = spark.sparkContext.broadcast(_automaton(part, width))
+    rows, parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _parts(benchmark, limit)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _scanned(rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), first, width).drop("row")
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = _scanned(rows, first, width).unionByName(_scanned(rows, second, width))
+    for part in parts:
+        found = found.unionByName(_scanned(rows, part, width))
+    return _merge(found)
 
-        def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    rows = [scan(t, automaton) for t in part.column(1).to_pylist()]
-                    n, hit, items, spans = zip(*rows) if rows else ((), (), (), ())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0), pa.array(n, pa.int64()), pa.array([len(h) for h in hit], pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
-                            pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        ],
-                        ["doc_id", "n_words", "n_hit", "hit_words", "items", "spans"],
-                    )
-
-        one = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, SCHEMA)
-        found = one if found is None else _merge(found, one)
-    return found
-
-
-def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.unionByName(b).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
+
+def merged_spans(parts: list[tuple[list[int], list[tuple[int, int]]]]) -> list[tuple[int, int]]:
+    """The spans of the runs of all words hit, from (numbers of the words hit, spans of their runs) of each part.
+
+    The first word of a run is the first one of a run in some part, and so is the last.
+    """
+    start, end, words = {}, {}, set()
+    for hit, spans in parts:
+        have = set(hit)
+        words |= have
+        for w, (s, _) in zip([w for w in hit if w - 1 not in have], spans):
+            start[w] = s
+        for w, (_, e) in zip([w for w in hit if w + 1 not in have], spans):
+            end[w] = e
+    return list(zip([start[w] for w in sorted(words) if w - 1 not in words], [end[w] for w in sorted(words) if w + 1 not in words]))
+
+
+def _merge(found: DataFrame) -> DataFrame:
+    both = found.groupBy("row", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+        F.filter(F.collect_list(F.struct("hit_words", "spans")), lambda x: F.size(x["spans"]) > 0).alias("parts"),
     )
-    return both.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "hit_words", "items", "spans")
-
-
+    of = F.udf(lambda parts: merged_spans([(p["hit_words"], p["spans"]) for p in parts]), "array<struct<start:int,end:int>>")
+    return both.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "hit_words", "items", of("parts").alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = AUTOMATON_BYTES) -> DataFrame:

@@ -357,6 +357,15 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs(spark), bench).count() == 0 and decontaminate.contamination(docs(spark, "a"), bench.limit(0)).first().n_hit == 0
 
 
+def test_several_automata_give_the_rows_of_one(spark):
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "c d e f"), (3, "g h i j"), (4, "x y")], "item_id long, text string")
+    texts = ["z a b c d e f g h i j", "x y", "x y", "nothing", "a b c d", None, "x y z x y"]
+    df = docs(spark, *texts, ids=[1, 1, 1, None, None, None, 2])
+    columns = ("doc_id", "n_words", "n_hit", "hit_words", "items", "spans")
+    one, several = (sorted((str([r[c] for c in columns]) for r in decontaminate.contamination(df, bench, 4, limit).collect())) for limit in (10**6, 5))
+    assert one == several and len(several) == len(texts)
+
+
 def test_hits_map_to_the_original(spark):
     bench = spark.createDataFrame([(1, "über den wolken")], "item_id long, text string")
     text = "Ääh: »Über,  DEN wolken« und weiter"
