@@ -24,7 +24,8 @@ from .shared import read_table
 #: Chunks of text, and pieces of these, that a worker remembers before it starts anew; pairs of tokens: four times as many.
 REMEMBERED = 400_000
 
-#: Texts of these characters alone (below U+0250) are in normal form, and lower-case letter by letter.
+#: A text is in normal form, and lower-cases letter by letter, if neither it nor its lower case has one of these. Some
+#: capitals below U+0250 have a small letter beyond it.
 _BEYOND = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
 _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
@@ -44,8 +45,9 @@ def _byte_chars() -> list[str]:
 
 
 def latin_pieces(text: str) -> list[str] | None:
-    """The pre-tokenizer's pieces of a text below U+0250 without special tokens, in lower case; None for other texts."""
-    return None if "<|" in text or _BEYOND.search(text) else _PIECE.findall(text.lower())
+    """The pre-tokenizer's pieces of a text without special tokens that stays below U+0250 in lower case, too; None for other texts."""
+    low = text.lower()
+    return None if "<|" in text or _BEYOND.search(text) or (not text.isascii() and _BEYOND.search(low)) else _PIECE.findall(low)
 
 
 class Bpe:
@@ -125,6 +127,8 @@ class Bpe:
                 last[end], size[end] = t, n
         ids, end = [], len(s)
         while end:
+            if last[end] < 0:
+                raise ValueError(f"the vocabulary has no token for the end of {s[:end]!r}")
             ids.append(last[end])
             end -= size[end]
         ids.reverse()

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.tables import connected_components, shared_folder, stage
 
-__all__ = ["SPACE", "connected_components", "filesystem", "new_folder", "read_table", "shared_folder", "stage"]
+__all__ = ["SPACE", "connected_components", "filesystem", "new_folder", "read_table", "shared_folder", "spread", "stage"]
+
+#: Tasks that a table of file names is dealt to, at most; beyond it a task reads several files in turn.
+MOST_TASKS = 20_000
 
 #: ASCII white space, the only separators of the corpus contracts.
 SPACE = " \t\n\x0b\x0c\r"
@@ -34,3 +37,8 @@ def new_folder(spark: SparkSession) -> str:
     fs, path = filesystem(uri)
     fs.create_dir(path)
     return uri
+
+
+def spread(names: DataFrame) -> DataFrame:
+    """A staged table of file names, a task per name: rows are small, and AQE would put all of them into one partition but for the number."""
+    return names.repartition(max(1, min(names.count(), MOST_TASKS)))

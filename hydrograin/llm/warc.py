@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_folder, read_table, stage
+from .shared import filesystem, new_folder, read_table, spread, stage
 
 #: Bytes of a record's block before it goes on in a continuation record, and of one HTTP chunk.
 SEGMENT, CHUNK = 16_384, 4_096
 #: Compressed bytes after which a task starts the next archive; a reading task holds one archive at a time.
 ARCHIVE = 16_000_000
+#: Bytes that a reader hands on at a time: what a member leaves of these is handed on again.
+STEP = 8_192
 #: Payloads below this many bytes are never revisits.
 LEAST = 1_000
 
@@ -86,11 +88,15 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record of an archive of gzip members."""
-    while archive:
-        z = zlib.decompressobj(31)
-        record = z.decompress(archive)
-        archive = z.unused_data
-        head, _, rest = record.partition(b"\r\n\r\n")
+    rest_of, at = memoryview(archive), 0
+    while at < len(rest_of):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if not (piece := rest_of[at : at + STEP]):
+                raise ValueError("the archive's last member is cut off")
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
 
@@ -209,8 +215,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, _PAGES)
 
-    # A task per archive: names are small, and AQE would put all of them into one partition but for the number.
-    found = archives.select("archive").repartition(max(1, archives.count())).mapInArrow(pieces, _PIECE)
+    found = spread(archives.select("archive")).mapInArrow(pieces, _PIECE)
     single = found.where("number IS NULL").mapInArrow(whole, _PAGE)
     segments = found.where("number IS NOT NULL").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "total", "page_id", "kind", "digest", "block"))).alias("parts")
