@@ -3,8 +3,8 @@
 A shard file holds a header (magic, id width, SHA-256 of the dictionary) and one zstandard frame per
 document. The index, a Parquet table, has for each document its shard, offset and length there, the number
 of ids and the number of ids before it. A short document is read by one ranged read and one small frame.
-The dictionary is trained on the serialized id arrays of a bounded sample. Shards hold ranges of doc_id;
-they are written by tasks into a shared folder, and count only through the committed index.
+The dictionary is trained on the serialized id arrays of a bounded sample. A task writes one range of
+doc_ids into as many shards as it takes; these lie in a shared folder, and count only through the committed index.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -23,11 +24,10 @@ from tokenizers import Tokenizer
 from .bpe import latin_pieces, vocabulary
 from .shared import filesystem, new_folder, read_table, stage
 
-#: Documents that the dictionary is trained on, at most (those with the smallest hash of their id), and their
-#: bytes; the dictionary's size.
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY = 2_000, 16_000_000, 65_536
-#: Compressed bytes that a shard aims at.
-SHARD = 16_000_000
+#: Documents that the dictionary is trained on, at most, and the most characters of one; the dictionary's size.
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY = 2_000, 10_000, 65_536
+#: Compressed bytes after which a task starts the next shard; those that a range of doc_ids aims at, and the most ranges.
+SHARD, RANGE, MOST_RANGES = 16_000_000, 32_000_000, 10_000
 #: Pieces whose ids a worker remembers before it starts anew.
 REMEMBERED = 500_000
 MAGIC = b"HGTOK1"
@@ -56,7 +56,9 @@ class Encoder:
         ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=self.width)
         raw, width = ids.tobytes(), ids.itemsize
         cuts = [0, *((np.flatnonzero(self._ends[ids]) + 1) * width).tolist()]
-        self._known.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        if len(cuts) != len(pieces) + 1:
+            raise ValueError(f"the library cuts {len(pieces)} pieces into {len(cuts) - 1}")
+        self._known.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text; a null text counts as empty."""
@@ -87,16 +89,13 @@ def _encoder(spec: str) -> Encoder:
 
 
 def train(docs: DataFrame, spec: str) -> bytes:
-    """The dictionary for docs (doc_id, text); empty where the sample is too small to train one."""
-    last = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-    if last is None:
-        return b""
-    texts, size = [], 0
-    for r in docs.where(F.xxhash64("doc_id") <= last).select("text").limit(SAMPLE_ROWS).toLocalIterator():
-        texts.append(r["text"])
-        size += len(r["text"] or "")
-        if size > SAMPLE_BYTES:
-            break
+    """The dictionary for docs (doc_id, text); empty where the sample is too small to train one.
+
+    The sample is of the first short texts, for which only the first files are read: short documents are what a
+    dictionary helps, and the ids that come back do not depend on it.
+    """
+    short = docs.select("text").where(F.length("text").between(1, SAMPLE_CHARS))
+    texts = [r["text"] for r in short.take(SAMPLE_ROWS)]
     try:
         return zstandard.train_dictionary(DICTIONARY, [x for x in _encoder(spec).encode(texts) if x]).as_bytes()
     except zstandard.ZstdError:
@@ -134,49 +133,43 @@ def write_tokens(docs: DataFrame, path: str) -> tuple[DataFrame, bytes]:
     dictionary = spark.sparkContext.broadcast(train(docs, spec.value))
     frames = stage(_frames(docs, spec, dictionary))
     size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
-    shards = 1 + size // SHARD
-    cuts = frames.agg(F.percentile_approx("doc_id", [(k + 1) / shards for k in range(shards - 1)], 10 * shards)).first()[0] if shards > 1 else []
-    cuts = spark.sparkContext.broadcast(np.array(cuts or [], dtype=np.int64))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts.value, ids).astype(np.int64)), *b.columns], ["shard", "doc_id", "n_tokens", "frame"])
-
-    placed = frames.mapInArrow(place, "shard long, doc_id long, n_tokens long, frame binary")
-    # One row per shard.
-    totals = placed.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
-    before, at = {}, 0
-    for shard, n in sorted((r["shard"], r["n"]) for r in totals):
-        before[shard] = at
-        at += n
-    before = spark.sparkContext.broadcast(before)
+    ranges = int(min(MOST_RANGES, 1 + size // RANGE))
     folder = new_folder(spark)
     width, mark = _encoder(spec.value).width, hashlib.sha256(dictionary.value).digest()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
-        out, now, name, offset, start = None, None, "", 0, 0
+        part, out, name, offset, start = TaskContext.get().partitionId(), None, "", 0, 0
         for b in batches:
             rows = []
-            for shard, doc_id, n, frame in zip(*(c.to_pylist() for c in b.columns)):
-                if shard != now:
-                    if out is not None:
-                        out.close()
-                    now, name, start = shard, f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tok", before.value[shard]
+            for doc_id, n, frame in zip(*(c.to_pylist() for c in b.columns)):
+                if out is None:
+                    name = f"{folder}/{part:06d}-{uuid.uuid4().hex}.tok"
                     out = fs.open_output_stream(f"{path}/{name.rpartition('/')[2]}", compression=None)
                     out.write(MAGIC + width.encode() + mark)
                     offset = len(MAGIC) + len(width) + len(mark)
                 out.write(frame)
-                rows.append((name, doc_id, start, n, offset, len(frame)))
+                rows.append((part, name, doc_id, start, n, offset, len(frame)))
                 start, offset = start + n, offset + len(frame)
+                if offset >= SHARD:
+                    out.close()
+                    out = None
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), *[pa.int64()] * 5))], ["file", "doc_id", "start", "n_tokens", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), *[pa.int64()] * 5))], ["part", "file", "doc_id", "start", "n_tokens", "offset", "length"])
         if out is not None:
             out.close()
 
-    ordered = placed.repartition(int(shards), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.length("frame"), "frame")
-    return stage(ordered.mapInArrow(write, "file string, doc_id long, start long, n_tokens long, offset long, length long")), dictionary.value
+    keys = [F.asc_nulls_first("doc_id"), F.length("frame").asc(), F.col("frame").asc()]
+    ordered = frames.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    written = stage(ordered.mapInArrow(write, "part long, file string, doc_id long, start long, n_tokens long, offset long, length long"))
+    # One row per range, MOST_RANGES at most.
+    before, at = {}, 0
+    for r in written.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        before[r["part"]] = at
+        at += r["n"]
+    first = spark.createDataFrame(list(before.items()), "part long, first long")
+    index = written.join(F.broadcast(first), "part").select("file", "doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "offset", "length")
+    return index, dictionary.value
 
 
 def read_tokens(index: DataFrame, dictionary: bytes) -> DataFrame:
