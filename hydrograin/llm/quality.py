@@ -1,22 +1,23 @@
 """Quality rules as a short-circuit cascade of SQL expressions.
 
-Each rule is a boolean Column over per-document measures (words, lines, 3-word windows, ...). The cascade
-asks the rules one after another and stops at the first that rejects; their order comes from a sample:
-cost is the time a rule takes there, selectivity the share it rejects, and rules run by falling rejections
-per second. The verdict does not depend on the order.
+Each rule is a boolean over figures of the text (words, lines, 3-word windows, ...). The cascade asks the rules
+one after another and stops at the first that rejects: figures that only later rules need are then never
+computed. The order comes from a sample: cost is the time that a rule's own expression takes there, selectivity
+the share it rejects, and rules run by falling rejections per second. The verdict does not depend on the order.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, read_table
+from .shared import SPACE, let, read_table, stage
 
-#: Rows of the sample that orders the rules: those with the smallest hash of their id.
-SAMPLE_ROWS = 2_000
+#: Rows of the sample that orders the rules, and the most characters of one; timed runs of each rule.
+SAMPLE_ROWS, SAMPLE_CHARS, RUNS = 200, 20_000, 1
 
 _SYMBOLS = "#*$%&|<>"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÍÓ"
@@ -35,20 +36,12 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value evaluated once however often it is named, also inside further lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _grams(words: Column) -> Column:
     """A hash of each window of three words."""
-    return _let(
-        words,
-        lambda w: F.when(
-            F.size(w) >= _WINDOW,
-            F.transform(F.sequence(F.lit(0), F.size(w) - _WINDOW), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+    return F.when(
+        F.size(words) >= _WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size(words) - _WINDOW), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
+    ).otherwise(F.array().cast("array<bigint>"))
 
 
 def _repeated_at(grams: Column) -> Column:
@@ -59,96 +52,119 @@ def _repeated_at(grams: Column) -> Column:
         same = lambda k, s: F.coalesce(F.get(r, k)["g"] == s["g"], F.lit(False))
         return F.array_sort(F.transform(F.filter(r, lambda s, k: same(k - 1, s) | same(k + 1, s)), lambda s: s["i"]))
 
-    return _let(ranked, twice)
+    return let(ranked, twice)
 
 
-def _covered(grams: Column) -> Column:
+def _covered(words: Column) -> Column:
     """Words inside a window that is found twice or more, the first one included."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(-_WINDOW).alias("last"))
 
-    def step(a: Column, at: Column) -> Column:
-        return F.struct((a["n"] + F.least(at - a["last"], F.lit(_WINDOW))).alias("n"), at.alias("last"))
+    def of(grams: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(-_WINDOW).alias("last"))
+
+        def step(a: Column, at: Column) -> Column:
+            return F.struct((a["n"] + F.least(at - a["last"], F.lit(_WINDOW))).alias("n"), at.alias("last"))
+
+        several = F.aggregate(_repeated_at(grams), start, step, lambda a: a["n"])
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(several)
+
+    return let(_grams(words), of)
+
+
+#: name: figure of a text and its words.
+FIGURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words),
+    "word_chars": lambda text, words: F.length(F.translate(text, SPACE, "")),
+    "n_symbols": lambda text, words: _without(text, _SYMBOLS),
+    "n_lines": lambda text, words: F.size(_lines(text)),
+    "n_dup_lines": lambda text, words: let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_repeat_words": lambda text, words: _covered(words),
+    "n_capitals": lambda text, words: _without(text, _CAPITALS),
+}
+
+#: name: whether the figures reject. The first two are fixed by contract; integer arithmetic keeps all of them exact.
+RULES: dict[str, Callable[[Callable[[str], Column]], Column]] = {
+    "too_short": lambda x: x("n_words") < 50,
+    "repeated_windows": lambda x: 100 * x("n_repeat_words") > 50 * x("n_words"),
+    "symbols": lambda x: 10 * x("n_symbols") > x("n_words") * 3,
+    "duplicate_lines": lambda x: let(x("n_dup_lines"), lambda n: F.when(n > 2, 100 * n > 30 * x("n_lines")).otherwise(F.lit(False))),
+    "word_length": lambda x: let(x("word_chars"), lambda n: (n < 2 * x("n_words")) | (n > 15 * x("n_words"))),
+    "capitals": lambda x: 100 * x("n_capitals") > 50 * x("word_chars"),
+}
+
+
+def verdict(text: Column, order: Sequence[str] = tuple(RULES), figures: Sequence[str] = ()) -> Column:
+    """STRUCT of the named figures (BIGINT) and rejected_by: the first rule in `order` that rejects, null if none does.
+
+    A rule's figures are computed when its turn comes, and not at all once an earlier rule has rejected. Figures
+    that are asked for are computed for every text, once, and the rules take them from there. A null text has no
+    words, lines or characters. Works within a row, without Python.
+    """
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+
+    def judge(words: Column) -> Column:
+        asked = F.struct(F.lit(0).alias("_"), *(FIGURES[f](whole, words).cast("long").alias(f) for f in figures))
 
-    several = F.aggregate(_repeated_at(grams), start, step, lambda a: a["n"])
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(several)
+        def cascade(known: Column) -> Column:
+            of = lambda f: known[f] if f in figures else FIGURES[f](whole, words)
+            rejected = F.lit(None).cast("string")
+            for rule in reversed(order):
+                rejected = F.when(RULES[rule](of), F.lit(rule)).otherwise(rejected)
+            return F.struct(*(known[f].alias(f) for f in figures), rejected.alias("rejected_by"))
 
+        return let(asked, cascade)
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with the measures of each whole text; a null text has no words, lines or characters.
+    return let(_words(whole), judge)
 
-    Columns are prefixed with `q_`; extra columns of docs stay as they are. The measures come out of a
-    one-row generator, so that the optimiser doesn't copy them into every rule that names them.
+
+def order_of(docs: DataFrame) -> list[str]:
+    """Rule names by falling rejections per second on the first SAMPLE_ROWS texts of at most SAMPLE_CHARS characters.
+
+    Only the first files are read for these; another sample would change the time taken, but no verdict. The cost
+    of a rule is the shortest of RUNS runs of its expression after a first one, less that of none. An empty table
+    keeps the written order.
+    """
+    text = F.col("text").cast("string")
+    texts = [r[0] for r in docs.select(text).where(F.length(text) <= SAMPLE_CHARS).take(SAMPLE_ROWS)]
+    if not texts:
+        return list(RULES)
+    sample = stage(docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("text")))
+
+    def run(order: list[str]) -> tuple[int, float]:
+        judged = sample.agg(F.count(verdict(F.col("text"), order)["rejected_by"]))
+        times, n = [], 0
+        judged.collect()
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            n = judged.first()[0]
+            times.append(time.perf_counter() - began)
+        return n, min(times)
+
+    idle, worth = run([])[1], {}
+    for rule in RULES:
+        n, took = run([rule])
+        worth[rule] = n / max(1e-3, took - idle)
+    return sorted(worth, key=lambda rule: -worth[rule])
+
+
+def judged(docs: DataFrame, order: Sequence[str] | None = None, figures: Sequence[str] = (), name: str = "quality") -> DataFrame:
+    """docs with the STRUCT of verdict() under `name`, in place of a column of that name; all other columns stay.
+
+    Every row keeps its place, repeated ones and those without a doc_id, too.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.withColumn("q_words", _words(text)).withColumn("q_lines", _lines(text)).withColumn("q_grams", _grams(F.col("q_words")))
-    found = {
-        "q_n_words": F.size("q_words"),
-        "q_word_chars": F.length(F.translate(text, SPACE, "")),
-        "q_n_symbols": _without(text, _SYMBOLS),
-        "q_n_dup_lines": F.size("q_lines") - F.size(F.array_distinct("q_lines")),
-        "q_n_lines": F.size("q_lines"),
-        "q_n_repeat_words": _covered(F.col("q_grams")),
-        "q_upper": _without(text, _CAPITALS),
-    }
-    return df.select(*docs.columns, F.inline(F.array(F.struct(*(c.cast("long").alias(k) for k, c in found.items())))))
-
-
-def rules() -> dict[str, Column]:
-    """name: rejects. The first two are fixed by contract; integer arithmetic keeps all of them exact."""
-    c = F.col
-    return {
-        "too_short": c("q_n_words") < 50,
-        "repeated_windows": 100 * c("q_n_repeat_words") > 50 * c("q_n_words"),
-        "symbols": 10 * c("q_n_symbols") > c("q_n_words") * 3,
-        "duplicate_lines": (c("q_n_dup_lines") > 2) & (100 * c("q_n_dup_lines") > 30 * c("q_n_lines")),
-        "word_length": (c("q_word_chars") < 2 * c("q_n_words")) | (c("q_word_chars") > 15 * c("q_n_words")),
-        "capitals": 100 * c("q_upper") > 50 * c("q_word_chars"),
-    }
-
-
-def order_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by falling rejections per second on the sample. An empty table keeps the written order."""
-    ids = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if ids is None:
-        return list(rules())
-    sample = docs.select("doc_id", "text").where(F.xxhash64("doc_id") <= ids).limit(2 * sample_rows).cache()
-    seen = max(1, sample.count())
-    worth = {}
-    for name, rejects in rules().items():
-        began = time.perf_counter()
-        n = measures(sample).where(rejects).count()
-        worth[name] = (n / seen) / max(1e-3, time.perf_counter() - began)
-    sample.unpersist()
-    return sorted(worth, key=lambda k: -worth[k])
-
-
-def cascade(order: list[str]) -> Column:
-    """Name of the first rule that rejects, null if none does; later rules are then not evaluated."""
-    all_rules = rules()
-    verdict = F.lit(None).cast("string")
-    for name in reversed(order):
-        verdict = F.when(all_rules[name], F.lit(name)).otherwise(verdict)
-    return verdict
-
-
-def judged(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """docs with their measures (q_*) and q_rejected_by, the rule that rejects the row or null if it stays."""
-    return measures(docs).withColumn("q_rejected_by", cascade(order or order_of(docs)))
+    kept = [c for c in docs.columns if c != name]
+    return docs.select(*kept, verdict(F.col("text"), order or order_of(docs), figures).alias(name))
+
+
+def accepted(docs: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that no rule rejects. Null and empty texts are too short."""
+    return docs.where(verdict(F.col("text"), order or order_of(docs))["rejected_by"].isNull())
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = rules()["too_short"] | rules()["repeated_windows"]
-    return found.select(
-        "doc_id",
-        F.col("q_n_words").alias("n_words"),
-        F.col("q_word_chars").alias("word_chars"),
-        F.col("q_n_symbols").alias("n_symbols"),
-        F.col("q_n_dup_lines").alias("n_dup_lines"),
-        F.col("q_n_repeat_words").alias("n_repeat_words"),
-        base.alias("base_failed"),
-        F.col("q_rejected_by").isNull().alias("kept"),
-    )
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    q = judged(read_table(spark, sf_dir, "documents").select("doc_id", "text"), None, asked).select("doc_id", "quality")
+    base = (F.col("quality.n_words") < 50) | (100 * F.col("quality.n_repeat_words") > 50 * F.col("quality.n_words"))
+    return q.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in asked], base.alias("base_failed"), F.col("quality.rejected_by").isNull().alias("kept"))
 
 
 QUERIES = {"op7_quality": op7_quality}
