@@ -9,6 +9,10 @@ A tree splits the points of a node by their Hamming distance d to the node's van
 where d <= t, outside where d > t. By the triangle bound a point inside can only have a partner
 outside if d > t - r, and only then the point is also sent to the outer shard. That one-sided overlap
 is enough: a pair split by a node meets again in its outer child, so any pair within r shares a leaf.
+
+deduplicated() uses the same trees on wider fingerprints of shingle sets: there each tree brings together the pairs
+whose own block differs in at most r bits, a stretch of further bits sorts out the unlike ones, and the links that
+remain are checked on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .shared import connected_components, read_table, stage
 
 #: (first bit, bits, radius) of each tree: exact for 3 differing bits of 64.
 BLOCKS_64 = ((0, 32, 1), (32, 32, 1))
+#: 32 trees over 768 bits: at a similarity of 0.8 a block differs in 1 bit or none with a chance of 0.10, and so one of
+#: 32 does with 0.97. STRETCH: bits that are compared in a leaf, from the block's own on.
+BLOCKS_768, BITS, STRETCH = tuple((24 * k, 24, 1) for k in range(32)), 768, 160
 #: Fingerprints that a leaf aims at, and the most that one side of a comparison holds.
 LEAF, CHUNK = 4_096, 16_384
 #: The list of leaves over CHUNK is broadcast up to this many rows; with more of them the trees grow deeper.
@@ -44,25 +52,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, n_bits: int = 64) -> bytes:
-    """Big-endian SimHash of one text; see fingerprints()."""
+def majority(h: np.ndarray) -> bytes:
+    """Of each bit column of the rows of h (n x k unsigned integers) whether over half are set, as big-endian bytes.
+
+    Rows are added up three at a time into a sum and a carry, all 64 columns of a word at once.
+    """
+    n, total, weight, rows = len(h), np.zeros(64 * h.shape[1], dtype=np.int64), 1, h
+    while len(rows):
+        carries = []
+        while len(rows) > 2:
+            k = len(rows) // 3
+            a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
+            either = a ^ b
+            carries.append((a & b) | (either & c))
+            rows = np.concatenate([either ^ c, rows[3 * k :]])
+        total += weight * np.unpackbits(rows.astype(">u8").view(np.uint8).reshape(len(rows), -1), axis=1).sum(axis=0, dtype=np.int64)
+        rows, weight = np.concatenate(carries) if carries else rows[:0], 2 * weight
+    return np.packbits(total * 2 > n).tobytes()
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `width` lower-cased words, in order; of all words where there are fewer."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(n_bits // 8)
-    if len(words) > shingle:
-        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))]
+    if len(words) > width:
+        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(width)))]
     else:
-        grams = [b" ".join(words)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=len(grams))
-    total = np.zeros(n_bits, dtype=np.int64)
-    for at in range(0, len(h), 16384):
-        part = h[at : at + 16384]
-        if n_bits > 64:
-            with np.errstate(over="ignore"):
-                part = _mix(part[:, None] * _ODD[None, : n_bits // 64])
-        octets = part.astype(">u8").view(np.uint8).reshape(len(part), -1)
-        total += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(total * 2 > len(h)).tobytes()
+        grams = [b" ".join(words)] if words else []
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=len(grams))
+
+
+def wide(h: np.ndarray, n_bits: int) -> bytes:
+    """Big-endian SimHash of n_bits of the hashes; zero for none."""
+    if not len(h):
+        return bytes(n_bits // 8)
+    if n_bits == 64:
+        return majority(h[:, None])
+    total = [np.frombuffer(majority(_mix(h * odd)[:, None]), np.uint8) for odd in _odd(n_bits // 64)]
+    return np.concatenate(total).tobytes()
+
+
+def _odd(n: int) -> np.ndarray:
+    """n odd multipliers; the first ones are fixed."""
+    more = _mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
+    return np.concatenate([_ODD, more])[:n]
+
+
+def fingerprint(text: str | None, shingle: int, n_bits: int = 64) -> bytes:
+    """Big-endian SimHash of one text; see fingerprints()."""
+    with np.errstate(over="ignore"):
+        return wide(shingles(text, shingle), n_bits)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, n_bits: int = 64) -> DataFrame:
@@ -102,49 +140,78 @@ def route(points: np.ndarray, tree: int, bits: int, radius: int, depth: int) ->
     return row, node
 
 
-def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, block: tuple[int, int, int], most: int, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs in one comparison: (id, smallest id of its group)."""
+def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of least weights of the edges (a, b, w) over n nodes: each part takes its least edge, until none is left."""
+    order = np.lexsort((b, a, w))
+    a, b, w = a[order], b[order], w[order]
+    label, live, kept = np.arange(n), np.arange(len(a)), []
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            break
+        least = np.full(n, len(a))
+        np.minimum.at(least, x, live)
+        np.minimum.at(least, y, live)
+        chosen = np.unique(least[least < len(a)])
+        kept.append(chosen)
+        x, y, root = label[a[chosen]], label[b[chosen]], np.arange(n)
+        while True:
+            new = root.copy()
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        label = root[label]
+    at = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+    return a[at], b[at], w[at]
+
+
+def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, bits: int, radius: int, most: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, of least distances, of the near pairs in one comparison: at most one link less than points.
+
+    Pairs are brought down to a forest whenever there are several times as many as points.
+    """
     order = np.argsort(ids, kind="stable")
     ids, side, octets = ids[order], side[order], octets[order]
-    words = _block(octets, block[0], block[1])
+    words = _block(octets, 0, bits)
     left = np.flatnonzero(side == 0) if across else np.arange(len(ids))
     right = np.flatnonzero(side == 1) if across else left
-    a, b = [], []
+    none = np.zeros(0, dtype=np.int64)
+    found, size = [(none, none, none)], 0
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        near = np.bitwise_count(words[rows][:, None] ^ words[right][None, :]) <= block[2]
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(np.bitwise_count(words[rows][:, None] ^ words[right][None, :]) <= radius)
         i, j = rows[i], right[j]
         keep = i < j if not across else slice(None)
         i, j = i[keep], j[keep]
-        if len(i):
-            keep = np.bitwise_count(octets[i] ^ octets[j]).sum(axis=1) <= most
-            a.append(i[keep])
-            b.append(j[keep])
-    if not a:
-        return []
-    a, b = np.concatenate(a), np.concatenate(b)
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(len(ids)))
-    return list(zip(ids[at].tolist(), ids[label[at]].tolist()))
-
-
-def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of points (id, fp) at `most` or fewer differing bits.
-
-    points: one row per distinct fingerprint. They travel packed, one binary per leaf and batch. Leaves above
-    `chunk` points are compared part by part, so no task holds more than two parts; every comparison returns a
-    spanning forest, not all pairs.
+        for k in range(0, len(i), 1 << 18):
+            p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+            d = np.bitwise_count(octets[p] ^ octets[q]).sum(axis=1, dtype=np.int64)
+            near = d <= most
+            found.append((p[near], q[near], d[near]))
+            size += int(near.sum())
+            if size > 4 * len(ids):
+                found = [forest(*(np.concatenate(x) for x in zip(*found)), len(ids))]
+                size = 0
+    a, b, _ = forest(*(np.concatenate(x) for x in zip(*found)), len(ids))
+    return ids[a], ids[b]
+
+
+def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, stretch: int = 64, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between points (id, fp) that some tree brings together and whose `stretch` bits from that tree's
+    block on, round the end, differ in `most` or fewer. With all bits in the stretch and blocks that are exact for
+    `most`, the components of the links are those of all pairs at that distance.
+
+    points: ids are distinct. They travel packed, one binary per leaf and batch. Leaves above `chunk` points are
+    compared part by part, so no task holds more than two parts; every comparison returns a spanning forest of the
+    least distances, not all pairs.
     """
+    width = stretch // 8
     points = points.select("id", "fp")
     depth = max(0, math.ceil(math.log(max(1, points.count()) / leaf) / -math.log(SHRINK)))
 
@@ -179,9 +246,10 @@ def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, leaf
                 continue
             ids = b.column(0).to_numpy()
             octets = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
-            packed = np.hstack([ids.astype("<i8").view(np.uint8).reshape(-1, 8), octets])
+            named = ids.astype("<i8").view(np.uint8).reshape(-1, 8)
             out: list[tuple] = []
             for tree, node, row in leaves(b, depth):
+                packed = np.hstack([named, np.roll(octets, -(blocks[tree][0] // 8), axis=1)[:, :width]])
                 cuts = np.flatnonzero(np.diff(node)) + 1
                 for at, rows in zip(np.split(node, cuts), np.split(row, cuts)):
                     k = parts.value.get((tree, int(at[0])), 1)
@@ -199,19 +267,15 @@ def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, leaf
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple[int, int]] = []
             for k in range(b.num_rows):
                 tree, i, j, rows = (b.column(c)[k].as_py() for c in range(4))
-                width = 8 + (max(first + bits for first, bits, _ in blocks) + 7) // 8
-                blobs = [np.frombuffer(r["blob"], dtype=np.uint8).reshape(-1, width) for r in rows]
+                blobs = [np.frombuffer(r["blob"], dtype=np.uint8).reshape(-1, 8 + width) for r in rows]
                 side = np.concatenate([np.full(len(x), r["side"]) for x, r in zip(blobs, rows)])
                 every = np.concatenate(blobs)
                 if len(every) > 1:
                     ids = np.ascontiguousarray(every[:, :8]).view("<i8").ravel()
-                    found += _links(ids, side, np.ascontiguousarray(every[:, 8:]), blocks[tree], most, i != j)
-            if found:
-                a, c = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+                    a, c = _links(ids, side, np.ascontiguousarray(every[:, 8:]), *blocks[tree][1:], most, i != j)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return sides.select("tree", "i", "j", "rows").mapInArrow(compare, "a long, b long")
 
@@ -234,10 +298,78 @@ def near_groups(docs: DataFrame, shingle: int = 3, n_bits: int = 64, blocks: tup
     return fps.join(by_fp.repartition(F.xxhash64("fp")), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def wide_distance(similarity: float, n_bits: int = 384) -> int:
-    """Differing bits expected at a Jaccard similarity of shingle sets, plus one standard deviation."""
+def wide_distance(similarity: float, n_bits: int = STRETCH) -> int:
+    """Differing bits expected at a Jaccard similarity of shingle sets, plus two standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n_bits * p + math.sqrt(n_bits * p * (1 - p)))
+    return math.floor(n_bits * p + 2 * math.sqrt(n_bits * p * (1 - p)))
+
+
+def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, doc STRUCT of all columns, set LONG, fp BINARY) of each row, written out: its number, the hash and the SimHash of its shingle set."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                names, fps = [], []
+                with np.errstate(over="ignore"):
+                    for t in part.column(2).to_pylist():
+                        h = np.unique(shingles(t, shingle))
+                        names.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 7))
+                        fps.append(wide(h, BITS))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())], ["row", "doc", "set", "fp"])
+
+    schema = StructType([*rows.schema.fields[:2], StructField("set", LongType()), StructField("fp", BinaryType())])
+    return stage(rows.mapInArrow(of, schema))
+
+
+def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between different shingle sets of rows (see sketched()), each of that Jaccard similarity or more."""
+    points = stage(rows.groupBy("set").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
+    found = near_links(points.select(F.col("set").alias("id"), "fp"), BLOCKS_768, wide_distance(similarity), STRETCH)
+    found = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = found.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    texts = points.select("set", "row").join(ends, "set").join(rows.select("row", F.col("doc.text").cast("string").alias("text")), "row").select("set", "text")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [np.unique(shingles(t, shingle)).astype("<u8").tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["set", "members"])
+
+    sets = stage(texts.mapInArrow(members, "set long, members binary"))
+    both = found.join(sets.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a")
+    both = both.join(sets.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2), b.column(3)):
+                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id, the first of these where it repeats.
+
+    Rows are linked if their sets of word shingles have at least that Jaccard similarity; groups are what links reach.
+    Candidates come from vantage-point trees over wide fingerprints; each is checked on the whole sets, so no link is
+    wrong, and the share of links found is that of BLOCKS_768. Texts with equal sets, null and empty ones among them, are
+    copies. A null doc_id counts as larger than all others. All columns stay as they are.
+    """
+    rows = sketched(docs, shingle)
+    component = connected_components(similar_links(rows, shingle, similarity))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").cast("long").alias("id"), F.col("row"))
+    first = rows.groupBy("set").agg(F.min(order).alias("first"))
+    first = first.join(component, first["set"] == component["node"], "left").select(F.coalesce("component", "set").alias("c"), "first")
+    kept = first.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.select("row", "doc").join(stage(kept), "row", "left_semi").select("doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

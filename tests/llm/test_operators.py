@@ -88,12 +88,30 @@ def test_routing_overlaps_are_enough():
     assert all(where[i] & where[i + 500] for i in range(500))
 
 
+def test_majority_is_the_plain_count():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 4, 7, 100, 1000):
+        h = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(n, -1), axis=1)
+        assert simhash.majority(h) == np.packbits(bits.sum(axis=0, dtype=int) * 2 > n).tobytes()
+
+
+def test_forest_has_the_components_of_every_threshold():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        a, b, w = rng.integers(0, 40, 90), rng.integers(0, 40, 90), rng.integers(0, 9, 90)
+        x, y, z = simhash.forest(a, b, w, 40)
+        for t in range(9):
+            every, few = (brute_components(list(zip(p[r <= t].tolist(), q[r <= t].tolist())), range(40)) for p, q, r in ((a, b, w), (x, y, z)))
+            assert every == few
+
+
 def test_wide_fingerprints_estimate_similarity():
     words = [f"w{i}" for i in range(400)]
-    a = np.frombuffer(simhash.fingerprint(" ".join(words), 5, 384), np.uint8)
-    close = np.frombuffer(simhash.fingerprint(" ".join(words[:395] + ["x"] * 5), 5, 384), np.uint8)
-    far = np.frombuffer(simhash.fingerprint(" ".join(f"v{i}" for i in range(400)), 5, 384), np.uint8)
-    assert np.bitwise_count(a ^ close).sum() < simhash.wide_distance(0.8) < np.bitwise_count(a ^ far).sum()
+    a = np.frombuffer(simhash.fingerprint(" ".join(words), 5, 768), np.uint8)
+    close = np.frombuffer(simhash.fingerprint(" ".join(words[:395] + ["x"] * 5), 5, 768), np.uint8)
+    far = np.frombuffer(simhash.fingerprint(" ".join(f"v{i}" for i in range(400)), 5, 768), np.uint8)
+    assert np.bitwise_count(a ^ close).sum() < simhash.wide_distance(0.8, 768) < np.bitwise_count(a ^ far).sum()
 
 
 # --- BPE and token files ---------------------------------------------------------------------------------------------
