@@ -31,9 +31,9 @@ from .shared import connected_components, read_table, stage
 
 #: (first bit, bits, radius) of each tree: exact for 3 differing bits of 64.
 BLOCKS_64 = ((0, 32, 1), (32, 32, 1))
-#: 32 trees over 768 bits: at a similarity of 0.8 a block differs in 1 bit or none with a chance of 0.10, and so one of
-#: 32 does with 0.97. STRETCH: bits that are compared in a leaf, from the block's own on.
-BLOCKS_768, BITS, STRETCH = tuple((24 * k, 24, 1) for k in range(32)), 768, 160
+#: 24 trees over 576 bits: at a similarity of 0.8 a block differs in 1 bit or none with a chance of 0.10, and so one of
+#: 24 does with 0.93; at 0.85 with 0.99. STRETCH: bits that are compared in a leaf, from the block's own on.
+WIDE_BLOCKS, BITS, STRETCH, WIDE_LEAF = tuple((24 * k, 24, 1) for k in range(24)), 576, 160, 2_048
 #: Fingerprints that a leaf aims at, and the most that one side of a comparison holds.
 LEAF, CHUNK = 4_096, 16_384
 #: The list of leaves over CHUNK is broadcast up to this many rows; with more of them the trees grow deeper.
@@ -41,9 +41,6 @@ BROADCAST_LEAVES = 500_000
 #: What a level leaves of a shard, overlaps included, for evenly spread fingerprints.
 SHRINK = 0.58
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """Vectorised 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -52,15 +49,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Odd multipliers, one for each 64 bits of a wide fingerprint; the first two also name vantage points.
+with np.errstate(over="ignore"):
+    _ODD = _mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def majority(h: np.ndarray) -> bytes:
     """Of each bit column of the rows of h (n x k unsigned integers) whether over half are set, as big-endian bytes.
 
-    Rows are added up three at a time into a sum and a carry, all 64 columns of a word at once.
+    Of many rows three at a time are added up into a sum and a carry, all 64 columns of a word at once.
     """
     n, total, weight, rows = len(h), np.zeros(64 * h.shape[1], dtype=np.int64), 1, h
     while len(rows):
         carries = []
-        while len(rows) > 2:
+        while len(rows) > 1024:
             k = len(rows) // 3
             a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
             either = a ^ b
@@ -85,22 +87,13 @@ def wide(h: np.ndarray, n_bits: int) -> bytes:
     """Big-endian SimHash of n_bits of the hashes; zero for none."""
     if not len(h):
         return bytes(n_bits // 8)
-    if n_bits == 64:
-        return majority(h[:, None])
-    total = [np.frombuffer(majority(_mix(h * odd)[:, None]), np.uint8) for odd in _odd(n_bits // 64)]
-    return np.concatenate(total).tobytes()
-
-
-def _odd(n: int) -> np.ndarray:
-    """n odd multipliers; the first ones are fixed."""
-    more = _mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
-    return np.concatenate([_ODD, more])[:n]
+    with np.errstate(over="ignore"):
+        return majority(h[:, None] if n_bits == 64 else _mix(h[:, None] * _ODD[None, : n_bits // 64]))
 
 
 def fingerprint(text: str | None, shingle: int, n_bits: int = 64) -> bytes:
     """Big-endian SimHash of one text; see fingerprints()."""
-    with np.errstate(over="ignore"):
-        return wide(shingles(text, shingle), n_bits)
+    return wide(shingles(text, shingle), n_bits)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, n_bits: int = 64) -> DataFrame:
@@ -313,11 +306,10 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 names, fps = [], []
-                with np.errstate(over="ignore"):
-                    for t in part.column(2).to_pylist():
-                        h = np.unique(shingles(t, shingle))
-                        names.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 7))
-                        fps.append(wide(h, BITS))
+                for t in part.column(2).to_pylist():
+                    h = np.unique(shingles(t, shingle))
+                    names.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 7))
+                    fps.append(wide(h, BITS))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())], ["row", "doc", "set", "fp"])
 
     schema = StructType([*rows.schema.fields[:2], StructField("set", LongType()), StructField("fp", BinaryType())])
@@ -327,7 +319,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between different shingle sets of rows (see sketched()), each of that Jaccard similarity or more."""
     points = stage(rows.groupBy("set").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
-    found = near_links(points.select(F.col("set").alias("id"), "fp"), BLOCKS_768, wide_distance(similarity), STRETCH)
+    found = near_links(points.select(F.col("set").alias("id"), "fp"), WIDE_BLOCKS, wide_distance(similarity), STRETCH, WIDE_LEAF)
     found = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = found.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     texts = points.select("set", "row").join(ends, "set").join(rows.select("row", F.col("doc.text").cast("string").alias("text")), "row").select("set", "text")
@@ -360,7 +352,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     Rows are linked if their sets of word shingles have at least that Jaccard similarity; groups are what links reach.
     Candidates come from vantage-point trees over wide fingerprints; each is checked on the whole sets, so no link is
-    wrong, and the share of links found is that of BLOCKS_768. Texts with equal sets, null and empty ones among them, are
+    wrong, and the share of links found is that of WIDE_BLOCKS. Texts with equal sets, null and empty ones among them, are
     copies. A null doc_id counts as larger than all others. All columns stay as they are.
     """
     rows = sketched(docs, shingle)
