@@ -107,13 +107,23 @@ def distances(edges: DataFrame, sources: DataFrame, key: str = "aoi_id") -> Data
     return both.groupBy(key).applyInPandas(solve, f"{key} {kind}, node_id int, distance double")
 
 
-def relax(edges: DataFrame, sources: DataFrame, rounds: int, key: str = "aoi_id") -> DataFrame:
-    """(aoi_id, node_id, distance) over at most `rounds` edges, by repeated joins: for graphs beyond one task."""
+def relax(edges: DataFrame, sources: DataFrame, rounds: int | None = None, key: str = "aoi_id") -> DataFrame:
+    """(aoi_id, node_id, distance) by repeated joins, until no distance changes: for graphs beyond one task.
+
+    With `rounds`, over at most so many edges.
+    """
     arcs = edges.select(key, F.col("u").alias("a"), F.col("v").alias("b"), "length_m").union(edges.select(key, F.col("v"), F.col("u"), "length_m"))
     found = sources.select(key, "node_id", F.lit(0.0).alias("distance")).distinct()
-    for _ in range(rounds):
+    state, done = None, 0
+    while rounds is None or done < rounds:
         ahead = found.join(arcs, (found[key] == arcs[key]) & (found["node_id"] == arcs["a"])).select(found[key], F.col("b").alias("node_id"), (F.col("distance") + F.col("length_m")).alias("distance"))
         found = stage(found.union(ahead).groupBy(key, "node_id").agg(F.min("distance").alias("distance")))
+        done += 1
+        # Nodes only come in and distances only fall: equal numbers and sums of row hashes mean equal rows.
+        row = found.agg(F.count("*"), F.sum(F.xxhash64(key, "node_id", "distance").cast("decimal(38,0)"))).first()
+        if row == state:
+            break
+        state = row
     return found
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,8 +42,12 @@ def radar_shadow(azimuth: Column | float, cutoff: float = DEFAULT.terrain.radar_
     return F.coalesce(slant > F.tan(F.radians(F.lit(cutoff))), F.lit(False))
 
 
-def receivers(cells: DataFrame, x_m: float, y_m: float, z: str = "z", key: str = "aoi_id") -> DataFrame:
-    """cells with (to_row, to_col), the neighbour of steepest descent; null for sinks and missing cells."""
+def receivers(cells: DataFrame, x_m: Column | float, y_m: Column | float, z: str = "z", key: str = "aoi_id") -> DataFrame:
+    """cells with (to_row, to_col), the neighbour of steepest descent; null for sinks and missing cells.
+
+    x_m and y_m are the sides of a cell in metres: numbers, or columns of cells, as areas differ in latitude.
+    """
+    x_m, y_m = (F.lit(float(m)) if isinstance(m, (int, float)) else m for m in (x_m, y_m))
     near = neighbourhood(cells, F.struct(F.col("row").alias("r"), F.col("col").alias("c"), F.col(z).alias("z")), 1, "_near", key)
 
     def drop(p: Column) -> Column:
@@ -83,39 +85,52 @@ def accumulate(z: np.ndarray, x_m: float, y_m: float) -> np.ndarray:
     step = np.array([a * w + b for a, b in STEPS])
     to = np.where(falls.max(axis=0) > 0, flat + step[best], -1).ravel()
     total = np.where(np.isnan(z), 0, 1).ravel()
-    for i in np.argsort(-z.ravel(), kind="stable"):
-        if to[i] >= 0:
-            total[to[i]] += total[i]
+    # All cells whose inflow is complete hand on their total at once.
+    waits = np.bincount(to[to >= 0], minlength=h * w)
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        ready = ready[to[ready] >= 0]
+        below = to[ready]
+        np.add.at(total, below, total[ready])
+        np.subtract.at(waits, below, 1)
+        below = np.unique(below)
+        ready = below[waits[below] == 0]
     return total.reshape(h, w)
 
 
 def above_source(z: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Height above the source that a breadth-first walk reaches a cell from; missing cells are barriers."""
+    """Height above the source that a breadth-first walk reaches a cell from; missing cells are barriers.
+
+    The walk goes on by whole fronts, in the order of a queue: a cell belongs to the first of the front that reaches it.
+    """
     h, w = z.shape
-    base = np.full((h, w), np.nan)
-    queue = deque((int(r), int(c)) for r, c in np.argwhere(source & ~np.isnan(z)))
-    for r, c in queue:
-        base[r, c] = z[r, c]
-    while queue:
-        r, c = queue.popleft()
-        for a, b in STEPS:
-            y, x = r + a, c + b
-            if 0 <= y < h and 0 <= x < w and np.isnan(base[y, x]) and not np.isnan(z[y, x]):
-                base[y, x] = base[r, c]
-                queue.append((y, x))
-    return z - base
-
-
-def drainage(cells: DataFrame, threshold: int, x_m: float, y_m: float, z: str = "z", key: str = "aoi_id") -> DataFrame:
+    wide = np.pad(z, 1, constant_values=np.nan).ravel()
+    base, step = np.full(len(wide), np.nan), np.array([a * (w + 2) + b for a, b in STEPS])
+    front = np.flatnonzero(np.pad(source, 1, constant_values=False).ravel() & ~np.isnan(wide))
+    base[front] = wide[front]
+    while len(front):
+        to, by = (front[:, None] + step[None, :]).ravel(), np.repeat(front, len(step))
+        fresh = np.isnan(base[to]) & ~np.isnan(wide[to])
+        to, first = np.unique(to[fresh], return_index=True)
+        order = np.argsort(first)
+        to, by = to[order], by[fresh][first[order]]
+        base[to] = base[by]
+        front = to
+    return z - base.reshape(h + 2, w + 2)[1:-1, 1:-1]
+
+
+def drainage(cells: DataFrame, threshold: int, x_m: Column | float, y_m: Column | float, z: str = "z", key: str = "aoi_id") -> DataFrame:
     """cells' (aoi_id, row, col) with flow accumulation and hand, the height above the nearest drainage.
 
     Drainage is where the accumulation reaches the threshold; without any, hand is null. Both walks follow the
-    whole area in order, so an area is one task; its size is bounded by the cap on areas (see preflight).
+    whole area in order, so an area is one task; its size is bounded by the cap on areas (see preflight). x_m and y_m
+    are the sides of an area's cells: numbers, or columns of cells.
     """
+    x_m, y_m = (F.lit(float(m)) if isinstance(m, (int, float)) else m for m in (x_m, y_m))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         r0, c0, (a,) = _dense(rows, z)
-        total = accumulate(a, x_m, y_m)
+        total = accumulate(a, float(rows["_x_m"].iloc[0]), float(rows["_y_m"].iloc[0]))
         source = (total >= threshold) & ~np.isnan(a)
         hand = above_source(a, source) if source.any() else np.full(a.shape, np.nan)
         r, c = rows["row"].to_numpy() - r0, rows["col"].to_numpy() - c0
@@ -125,7 +140,7 @@ def drainage(cells: DataFrame, threshold: int, x_m: float, y_m: float, z: str =
         return out
 
     kind = dict(cells.dtypes)[key]
-    return cells.select(key, "row", "col", z).groupBy(key).applyInPandas(one, f"{key} {kind}, row int, col int, accumulation long, hand double")
+    return cells.select(key, "row", "col", z, x_m.alias("_x_m"), y_m.alias("_y_m")).groupBy(key).applyInPandas(one, f"{key} {kind}, row int, col int, accumulation long, hand double")
 
 
 def trace_downstream(received: DataFrame, starts: DataFrame, most: int = 10_000, key: str = "aoi_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -82,16 +82,19 @@ def pixel_area(n):
     return F.round(n * F.abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 1e6, 6)
 
 
-def terrain_layers(dem: DataFrame, dem_grid: DataFrame, grid: DataFrame, direction: str, accumulation: int = DEFAULT.upstream.accumulation_threshold, config: Config = DEFAULT, key: str = "aoi_id") -> DataFrame:
-    """(aoi_id, row, col, slope, shadow, hand) on the radar grid, from elevation cells on their own grid."""
+def terrain_layers(dem: DataFrame, dem_grid: DataFrame, grid: DataFrame, direction: Column | str, accumulation: int = DEFAULT.upstream.accumulation_threshold, config: Config = DEFAULT, key: str = "aoi_id") -> DataFrame:
+    """(aoi_id, row, col, slope, shadow, hand) on the radar grid, from elevation cells on their own grid.
+
+    direction: ascending or descending, for all areas or as a column of dem_grid. Cell sizes are each area's own.
+    """
     lat = F.col("origin_y") + F.col("height") / 2 * F.col("px_h")
     mx, my = geo.metres_per_pixel(F.col("px_w"), F.col("px_h"), lat)
-    sides = dem_grid.select(key, mx.alias("_mx"), my.alias("_my"))
-    azimuth = config.flood.s1_look_azimuth_ascending_deg if direction.upper().startswith("ASC") else config.flood.s1_look_azimuth_descending_deg
-    sloped = terrain.slope_degrees(dem.join(sides, key), F.col("_mx"), F.col("_my"))
-    sloped = sloped.withColumn("shadow", terrain.radar_shadow(azimuth, config.terrain.radar_shadow_slope_degrees))
-    x_m, y_m = (float(v) for v in sides.agg(F.avg("_mx"), F.avg("_my")).first())
-    hand = terrain.drainage(dem, accumulation, x_m, y_m)
+    rising = F.upper(F.lit(direction) if isinstance(direction, str) else direction).startswith("ASC")
+    azimuth = F.when(rising, config.flood.s1_look_azimuth_ascending_deg).otherwise(config.flood.s1_look_azimuth_descending_deg)
+    placed = dem.join(F.broadcast(dem_grid.select(key, mx.alias("_mx"), my.alias("_my"), azimuth.alias("_azimuth"))), key)
+    sloped = terrain.slope_degrees(placed, F.col("_mx"), F.col("_my"))
+    sloped = sloped.withColumn("shadow", terrain.radar_shadow(F.col("_azimuth"), config.terrain.radar_shadow_slope_degrees))
+    hand = terrain.drainage(placed, accumulation, F.col("_mx"), F.col("_my"))
     layers = stage(sloped.select(key, "row", "col", "slope", "shadow").join(hand, [key, "row", "col"], "left").withColumn("v", F.struct("slope", "shadow", "hand")))
     moved = raster.resample_nearest(layers.select(key, "row", "col", "v"), dem_grid, grid, "v", key)
     return moved.select(key, "row", "col", "v.slope", F.coalesce("v.shadow", F.lit(False)).alias("shadow"), "v.hand")
