@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Facts of each stage with their units.
+#: Facts of each stage with their units, in the order of the output, and what a report line holds.
 DAMAGE = {"buildings_total": "count", "buildings_affected": "count", "buildings_possibly_affected": "count", "roads_affected": "count", "road_km_affected": "km", "bridges_possibly_impacted": "count"}
 ISOLATION = {"settlements_total": "count", "settlements_newly_cut_off": "count", "settlements_still_connected": "count", "settlements_no_pre_event_access": "count", "road_km_severed": "km", "buildings_affected_in_settlements": "count"}
 FLOOD = {"flooded_area_km2": "km2"}
@@ -55,6 +55,17 @@ def class_histogram(settlements: DataFrame, classes: tuple[str, ...], key: str =
     return counted.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("n")) for c in classes])))
 
 
+def rollup(checks: DataFrame, *by: str) -> DataFrame:
+    """Of checks (status PASS, WARN, FAIL or SKIP): how many there are of each, and whether none failed."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return checks.groupBy(*by).agg(n("PASS").alias("passed"), n("WARN").alias("warned"), n("FAIL").alias("failed"), n("SKIP").alias("skipped"), (n("FAIL") == 0).alias("ok"))
+
+
+def extent(points: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
+    """The least and the largest coordinates."""
+    return points.groupBy(*by).agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
+
+
 def report_line(counts: list[str] | tuple[str, ...] = REPORTED) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in counts])
 

@@ -143,24 +143,34 @@ def drainage(cells: DataFrame, threshold: int, x_m: Column | float, y_m: Column
     return cells.select(key, "row", "col", z, x_m.alias("_x_m"), y_m.alias("_y_m")).groupBy(key).applyInPandas(one, f"{key} {kind}, row int, col int, accumulation long, hand double")
 
 
-def trace_downstream(received: DataFrame, starts: DataFrame, most: int = 10_000, key: str = "aoi_id") -> DataFrame:
-    """Extension: the cells that water from each start passes, with their number on the way.
-
-    received: cells with (to_row, to_col), see receivers(). One join per step, and it stops when all have ended.
-    """
+def _trace(step: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """Rows (row, col, start_row, start_col, step) that are reached by steps (row, col, next_row, next_col), one join for each."""
     from .tables import stage
 
-    step = received.select(key, "row", "col", "to_row", "to_col")
     front = stage(starts.select(key, "row", "col", F.col("row").alias("start_row"), F.col("col").alias("start_col"), F.lit(0).alias("step")))
-    path = front
-    for n in range(1, most + 1):
-        front = stage(front.join(step, [key, "row", "col"]).where("to_row IS NOT NULL").select(key, F.col("to_row").alias("row"), F.col("to_col").alias("col"), "start_row", "start_col", F.lit(n).alias("step")))
-        if front.isEmpty():
-            break
+    path, n = front, 0
+    while not front.isEmpty():
+        n += 1
+        front = stage(front.join(step, [key, "row", "col"]).select(key, F.col("next_row").alias("row"), F.col("next_col").alias("col"), "start_row", "start_col", F.lit(n).alias("step")))
         path = path.unionByName(front)
     return path
 
 
+def trace_downstream(received: DataFrame, starts: DataFrame, key: str = "aoi_id") -> DataFrame:
+    """Extension: the cells that water from each start passes, with their number on the way.
+
+    received: cells with (to_row, to_col), see receivers(). Water only falls, so every path ends.
+    """
+    step = received.where("to_row IS NOT NULL").select(key, "row", "col", F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"))
+    return _trace(step, starts, key)
+
+
+def trace_upstream(received: DataFrame, starts: DataFrame, key: str = "aoi_id") -> DataFrame:
+    """Extension: the cells whose water passes each start, with the number of steps to it."""
+    step = received.where("to_row IS NOT NULL").select(key, F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("row").alias("next_row"), F.col("col").alias("next_col"))
+    return _trace(step, starts, key)
+
+
 def landing_zones(cells: DataFrame, settlements: DataFrame, px_m2: float, metres: Column, slope_max: float = DEFAULT.landing.max_slope_degrees, area_min: float = DEFAULT.landing.min_area_m2, distance_max: float = DEFAULT.landing.max_distance_from_settlement_m, key: str = "aoi_id") -> DataFrame:
     """Extension: flat components near a settlement: (aoi_id, component, area_m2, nearest_m), large ones first.
 

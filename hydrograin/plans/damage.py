@@ -122,3 +122,10 @@ def damage(layers: DataFrame, cells: DataFrame, grid: DataFrame, missing: list[s
     g = stage(bridges(_layer(layers, "bridge"), cells, grid, config, key))
     counts = facts.damage_counts(b, r, g, key)
     return Damage(b, r, g, counts, facts.facts(counts, facts.DAMAGE, "damage", key), [f"no {m} extract" for m in missing])
+
+
+def damage_counts(layers: DataFrame, cells: DataFrame, grid: DataFrame, config: Config = DEFAULT, key: str = "aoi_id") -> DataFrame:
+    """The counts of damage() alone: no layer is written, and what only its features hold is never computed."""
+    cells = cells.select(key, "row", "col", "probability")
+    b, r, g = (f(_layer(layers, name), cells, grid, config, key) for f, name in ((buildings, "building"), (roads, "highway"), (bridges, "bridge")))
+    return facts.damage_counts(b.select(key, "status"), r.select(key, "status", "length_km", "flooded_length_km"), g.select(key, "status", "structure"), key)

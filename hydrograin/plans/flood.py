@@ -22,12 +22,28 @@ class FloodMap:
     area: DataFrame
 
 
+def refuse_mismatch(post: DataFrame, pres: DataFrame, most: int = DEFAULT.pairing.max_pre_scenes, key: str = "aoi_id") -> None:
+    """ValueError unless every area has 1 to `most` pre scenes, all with the cells' extent of its post scene.
+
+    Cells beyond one scene's grid would silently fall out of the join of both otherwise. One aggregation of each input.
+    """
+    extent = F.struct(F.count("*"), F.min("row"), F.max("row"), F.min("col"), F.max("col"))
+    own = post.groupBy(key).agg(extent.alias("own"))
+    each = pres.groupBy(key, "scene_id").agg(extent.alias("one")).join(own, key, "full")
+    n, other = F.count("one"), F.count_if(F.col("one").isNotNull() & ~F.col("one").eqNullSafe(F.col("own")))
+    wrong = each.groupBy(key).agg(n.alias("n"), other.alias("other")).where((F.col("n") == 0) | (F.col("n") > most) | (F.col("other") > 0)).first()
+    if wrong:
+        raise ValueError(f"area {wrong[0]}: " + (f"{wrong['other']} pre scenes do not share the grid of the post scene" if wrong["other"] else f"{wrong['n']} pre scenes, 1 to {most} are required"))
+
+
 def flood_map(post: DataFrame, pres: DataFrame, grid: DataFrame, height: DataFrame | None = None, config: Config = DEFAULT, key: str = "aoi_id") -> FloodMap:
     """Flood maps of all areas.
 
     post (aoi_id, row, col, vv, vh, mask) and pres (the same with scene_id) are cells in dB; height has (row, col, slope,
     shadow, hand) on the same grid, null where unknown. An area without a pixel valid in all scenes has an empty map.
+    ValueError if scenes of an area differ in their grid, or if it has none or too many pre scenes.
     """
+    refuse_mismatch(post, pres, config.pairing.max_pre_scenes, key)
     c = config.flood
     bands = ("vv", "vh")
 

@@ -212,3 +212,27 @@ def polygon_areas(spark, sf):
 
     area = F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, enclosed(r)).otherwise(-enclosed(r))), F.lit(0.0), lambda a, x: a + x)
     return found.groupBy("component", "pixel_count").agg(F.sum(area).alias("area"))
+
+
+@query("SELECT o_custkey % 10 AS k, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 1e5) AS warned, count(*) FILTER (o_orderstatus = 'P' AND o_custkey % 10 < 5) AS failed, count(*) FILTER (o_orderstatus <> 'F') - warned - failed AS skipped, failed = 0 AS ok FROM orders GROUP BY 1")
+def status_rollup(spark, sf):
+    s, k = F.col("o_orderstatus"), F.col("o_custkey") % 10
+    status = F.when(s == "F", "PASS").when((s == "O") & (F.col("o_totalprice") > 1e5), "WARN").when((s == "P") & (k < 5), "FAIL").otherwise("SKIP")
+    return facts.rollup(table(spark, sf, "orders").select(k.alias("k"), status.alias("status")), "k")
+
+
+@query("SELECT c_nationkey AS k, min(c_acctbal) AS min_x, min(c_custkey) AS min_y, max(c_acctbal) AS max_x, max(c_custkey) AS max_y FROM customer GROUP BY 1")
+def layer_extent(spark, sf):
+    return facts.extent(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("y")), "k")
+
+
+@query(f"""
+WITH RECURSIVE {_GRID}, s(dr, dc, o) AS (VALUES (-1,-1,0),(-1,0,1),(-1,1,2),(0,-1,3),(0,1,4),(1,-1,5),(1,0,6),(1,1,7)),
+f AS (SELECT a.r, a.c, b.r AS tr, b.c AS tc, o, (a.z - b.z) / sqrt(CAST(dc * 30 AS DOUBLE) ** 2 + CAST(dr * 30 AS DOUBLE) ** 2) AS fall FROM g a JOIN s ON true JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc),
+t AS (SELECT r, c, tr, tc FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY fall DESC, o) AS n FROM f WHERE fall > 0) WHERE n = 1),
+p AS (SELECT r, c, r AS sr, c AS sc, 0 AS step FROM g WHERE c = 50 UNION ALL SELECT t.r, t.c, sr, sc, step + 1 FROM p JOIN t ON p.r = t.tr AND p.c = t.tc)
+SELECT r AS row, c AS col, sr AS start_row, sc AS start_col, step FROM p""")
+def upstream_trace(spark, sf):
+    """From a column of the grid, all cells that drain through each of its cells."""
+    cells = _grid_cells(spark, sf)
+    return terrain.trace_upstream(terrain.receivers(cells, 30.0, 30.0), cells.where("col = 50")).select("row", "col", "start_row", "start_col", "step")

@@ -52,6 +52,20 @@ def test_flood_map_lake_and_empty(spark):
     assert m.counts.first().final == 0 and m.area.first().flooded_area_km2 == 0 and m.polygons.count() == 0
 
 
+def test_flood_map_refuses_other_grids_and_too_many_scenes(spark):
+    one = np.full((5, 5), -10.0)
+    pres = [scene(spark, one, one, f"s{i}") for i in range(4)]
+    with pytest.raises(ValueError, match="do not share the grid"):
+        flood_plan.flood_map(scene(spark, one, one), pres[0].where("row < 4"), spark.sql(GRID))
+    many = pres[0]
+    for p in pres[1:]:
+        many = many.union(p)
+    with pytest.raises(ValueError, match="4 pre scenes, 1 to 3"):
+        flood_plan.flood_map(scene(spark, one, one), many, spark.sql(GRID))
+    with pytest.raises(ValueError, match="0 pre scenes"):
+        flood_plan.flood_map(scene(spark, one, one), pres[0].limit(0), spark.sql(GRID))
+
+
 def test_pixel_area(spark):
     g = spark.sql("SELECT 'a' AS aoi_id, 85.15D AS origin_x, 28.05D AS origin_y, 0.0002D AS px_w, -0.2D / 1115 AS px_h, 1115 AS height, 1000 AS width")
     assert 3.5 < g.select(flood_plan.pixel_area(F.lit(10_000))).first()[0] < 4.3

@@ -161,6 +161,7 @@ def test_damage_and_isolation_stages(spark):
     rows += [("place", 60 + k, {"place": p, "name": n}, "Point", list(at)) for k, (n, p, at) in enumerate([("west", "village", n2), ("east", "hamlet", n4), ("far", "hamlet", (85.09, 27.01)), ("ignored", "suburb", n1)])]
     df, cells, grid = layers(spark, rows).cache(), flood(spark, {2, 3, 4}, {4, 5}).cache(), spark.sql(GRID)
     d = damage_plan.damage(df, cells, grid)
+    assert damage_plan.damage_counts(df, cells, grid).collect() == d.counts.collect()
     c = d.counts.first()
     assert (c.buildings_total, c.buildings_affected, c.roads_total, c.bridges_total, c.bridges_possibly_impacted, c.bridges_road_total) == (2, 1, 5, 1, 1, 1)
     assert {r.id: r.value for r in d.facts.collect()}["buildings_affected"] == "1"
