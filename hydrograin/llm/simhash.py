@@ -33,7 +33,7 @@ from .shared import connected_components, read_table, stage
 BLOCKS_64 = ((0, 32, 1), (32, 32, 1))
 #: 24 trees over 576 bits: at a similarity of 0.8 a block differs in 1 bit or none with a chance of 0.10, and so one of
 #: 24 does with 0.93; at 0.85 with 0.99. STRETCH: bits that are compared in a leaf, from the block's own on.
-WIDE_BLOCKS, BITS, STRETCH, WIDE_LEAF = tuple((24 * k, 24, 1) for k in range(24)), 576, 160, 2_048
+WIDE_BLOCKS, BITS, STRETCH, WIDE_LEAF, WIDE_CHUNK = tuple((24 * k, 24, 1) for k in range(24)), 576, 160, 8_192, 32_768
 #: Fingerprints that a leaf aims at, and the most that one side of a comparison holds.
 LEAF, CHUNK = 4_096, 16_384
 #: The list of leaves over CHUNK is broadcast up to this many rows; with more of them the trees grow deeper.
@@ -176,8 +176,9 @@ def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, bits: int, rad
     right = np.flatnonzero(side == 1) if across else left
     none = np.zeros(0, dtype=np.int64)
     found, size = [(none, none, none)], 0
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
+    step = max(16, (1 << 22) // max(1, len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
         i, j = np.nonzero(np.bitwise_count(words[rows][:, None] ^ words[right][None, :]) <= radius)
         i, j = rows[i], right[j]
         keep = i < j if not across else slice(None)
@@ -291,10 +292,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, n_bits: int = 64, blocks: tup
     return fps.join(by_fp.repartition(F.xxhash64("fp")), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def wide_distance(similarity: float, n_bits: int = STRETCH) -> int:
-    """Differing bits expected at a Jaccard similarity of shingle sets, plus two standard deviations."""
+def wide_distance(similarity: float, n_bits: int = STRETCH, deviations: float = 2) -> int:
+    """Differing bits expected at a Jaccard similarity of shingle sets, plus some standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n_bits * p + 2 * math.sqrt(n_bits * p * (1 - p)))
+    return math.floor(n_bits * p + deviations * math.sqrt(n_bits * p * (1 - p)))
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
@@ -316,13 +317,27 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     return stage(rows.mapInArrow(of, schema))
 
 
+def close_links(links: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """The links (a, b) between points (set, fp) whose whole fingerprints differ in `most` bits or fewer: sets travel for these alone."""
+    both = links.join(points.select(F.col("set").alias("a"), F.col("fp").alias("of_a")), "a").join(points.select(F.col("set").alias("b"), F.col("fp").alias("of_b")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, BITS // 8) for c in (2, 3))
+            yield b.select([0, 1]).filter(pa.array(np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= most))
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+
 def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between different shingle sets of rows (see sketched()), each of that Jaccard similarity or more."""
     points = stage(rows.groupBy("set").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
-    found = near_links(points.select(F.col("set").alias("id"), "fp"), WIDE_BLOCKS, wide_distance(similarity), STRETCH, WIDE_LEAF)
-    found = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = near_links(points.select(F.col("set").alias("id"), "fp"), WIDE_BLOCKS, wide_distance(similarity), STRETCH, WIDE_LEAF, WIDE_CHUNK)
+    found = stage(close_links(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), points, wide_distance(similarity, BITS, 3)))
     ends = found.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    texts = points.select("set", "row").join(ends, "set").join(rows.select("row", F.col("doc.text").cast("string").alias("text")), "row").select("set", "text")
+    # Written out, so that Spark knows its size before it decides whether the texts must be shuffled.
+    ends = stage(points.select("set", "row").join(ends, "set"))
+    texts = ends.join(rows.select("row", F.col("doc.text").cast("string").alias("text")), "row").select("set", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
