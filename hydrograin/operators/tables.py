@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the tables that stage() returned.
+_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of a folder that Spark names by URI; file:, hdfs:, s3:, gs: and abfs: are known to Arrow."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or not _:
+        return LocalFileSystem(), "/" + (rest if _ else uri).lstrip("/")
+    return FileSystem.from_uri(uri.replace("s3a:", "s3:", 1).replace("s3n:", "s3:", 1))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset a temporary one, if all tasks run on this machine."""
@@ -25,7 +40,18 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _STAGED[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of stage() that nothing will read again; one that cannot be reached is left where it is."""
+    for table in tables:
+        if path := _STAGED.pop(table, None):
+            with contextlib.suppress(OSError):
+                fs, folder = filesystem(path)
+                fs.delete_dir(folder)
 
 
 def _pair_hash(edges: DataFrame) -> tuple:
@@ -47,12 +73,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before = _pair_hash(e)
     while before[0]:
+        last = e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.join(low.repartition(F.xxhash64("u")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         hung = e.join(low.repartition(F.xxhash64("u")), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
+        release(last)
         after = _pair_hash(e)
         if after == before:
             break
