@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import connected_components, shared_folder, stage
+from ..operators.tables import connected_components, filesystem, release, shared_folder, stage
 
-__all__ = ["SPACE", "chunks", "connected_components", "filesystem", "let", "new_folder", "read_table", "shared_folder", "spread", "stage"]
+__all__ = ["SPACE", "chunks", "connected_components", "filesystem", "let", "new_folder", "read_table", "release", "shared_folder", "spread", "stage"]
 
 #: Tasks that a table of file names is dealt to, at most; beyond it a task reads several files in turn.
 MOST_TASKS = 20_000
@@ -23,16 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a folder that Spark names by URI; file:, hdfs:, s3:, gs: and abfs: are known to Arrow."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    scheme, _, rest = uri.partition(":")
-    if scheme == "file" or not _:
-        return LocalFileSystem(), "/" + (rest if _ else uri).lstrip("/")
-    return FileSystem.from_uri(uri.replace("s3a:", "s3:", 1).replace("s3n:", "s3:", 1))
-
-
 def new_folder(spark: SparkSession) -> str:
     """A folder of its own in the shared one."""
     uri = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
