@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,54 +22,104 @@ def is_tiff(content: Column) -> Column:
     return F.coalesce(F.substring(content, 1, 4).isin(F.unhex(F.lit("49492A00")), F.unhex(F.lit("4D4D002A"))), F.lit(False))
 
 
-def tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
+def tags(raw: bytes, more: Callable[[int, int], bytes] | None = None) -> tuple[str, dict[int, tuple]]:
+    """(byte order, values of each tag). more(start, size) gives what lies beyond raw, where raw is only a file's beginning."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(raw[:4])
     if order is None:
         raise ValueError("not a TIFF file")
-    (at,) = struct.unpack_from(f"{order}I", raw, 4)
-    (n,) = struct.unpack_from(f"{order}H", raw, at)
-    found = {}
+
+    def at(start: int, size: int) -> bytes:
+        return raw[start : start + size] if start + size <= len(raw) or more is None else more(start, size)
+
+    (start,) = struct.unpack_from(f"{order}I", raw, 4)
+    (n,) = struct.unpack(f"{order}H", at(start, 2))
+    entries, found = at(start + 2, 12 * n), {}
     for k in range(n):
-        tag, kind, count = struct.unpack_from(f"{order}HHI", raw, at + 2 + 12 * k)
+        tag, kind, count = struct.unpack_from(f"{order}HHI", entries, 12 * k)
         if kind not in _CODES:
             continue
-        size, where = _SIZES[kind] * count, at + 10 + 12 * k
-        if size > 4:
-            (where,) = struct.unpack_from(f"{order}I", raw, where)
-        found[tag] = (raw[where : where + count],) if kind == 2 else struct.unpack_from(f"{order}{count}{_CODES[kind]}", raw, where)
+        size = _SIZES[kind] * count
+        value = entries[12 * k + 8 : 12 * k + 12]
+        value = value[:size] if size <= 4 else at(*struct.unpack(f"{order}I", value), size)
+        found[tag] = (value,) if kind == 2 else struct.unpack(f"{order}{count}{_CODES[kind]}", value)
     return order, found
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, dict]:
-    """(bands x height x width, grid) of an uncompressed or deflated file in strips or tiles.
+@dataclass(frozen=True)
+class Layout:
+    """How a file holds its pixels: the sizes of the raster and of a block, the kind of a pixel, and where each block lies."""
+
+    height: int
+    width: int
+    bands: int
+    block_height: int
+    block_width: int
+    tiled: bool
+    planar: int
+    kind: str
+    packed: int
+    predictor: int
+    starts: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.block_width)
+
+    @property
+    def per_plane(self) -> int:
+        return self.across * -(-self.height // self.block_height)
+
+    def corner(self, k: int) -> tuple[int, int]:
+        """(row, col) of the first pixel of block k."""
+        k %= self.per_plane
+        return k // self.across * self.block_height, k % self.across * self.block_width
+
+    def touching(self, row0: int, row1: int, col0: int, col1: int) -> list[int]:
+        """Blocks of the first plane that hold a pixel of the window, ends exclusive."""
+        return [r * self.across + c for r in range(row0 // self.block_height, -(-row1 // self.block_height)) for c in range(col0 // self.block_width, -(-col1 // self.block_width))]
+
+    def unpack(self, k: int, block: bytes) -> np.ndarray:
+        """Pixels (row, col, band of the plane) of block k, cut to the raster."""
+        y, x = self.corner(k)
+        kind, deep = np.dtype(self.kind), self.bands if self.planar == 1 else 1
+        rows = self.block_height if self.tiled else min(self.block_height, self.height - y)
+        block = zlib.decompress(block) if self.packed != 1 else block
+        if self.predictor == 3:
+            # Bytes of a row are differences, most significant bytes of all its pixels first.
+            octets = np.cumsum(np.frombuffer(block, "u1", rows * self.block_width * deep * kind.itemsize).reshape(rows, -1), axis=1, dtype="u1")
+            a = np.ascontiguousarray(octets.reshape(rows, kind.itemsize, -1).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, self.block_width, deep)
+        else:
+            a = np.frombuffer(block, kind, rows * self.block_width * deep).reshape(rows, self.block_width, deep)
+            if self.predictor == 2:
+                a = np.cumsum(a, axis=1, dtype=a.dtype)
+        return a[: self.height - y, : self.width - x]
 
-    grid: height, width, origin_x, origin_y, px_w, px_h and crs, of a north-up file.
-    """
-    order, t = tags(raw)
+
+def layout(order: str, t: dict[int, tuple]) -> Layout:
     width, height = t[256][0], t[257][0]
-    bands, planar = t.get(277, (1,))[0], t.get(284, (1,))[0]
-    kind = np.dtype(order + _TYPES[t.get(339, (1,))[0], t.get(258, (8,))[0]])
     packed, predictor = t.get(259, (1,))[0], t.get(317, (1,))[0]
-    if packed not in (1, 8, 32946) or predictor not in (1, 2):
+    if packed not in (1, 8, 32946) or predictor not in (1, 2, 3):
         raise ValueError(f"compression {packed} with predictor {predictor} is not supported")
     tiled = 322 in t
     bw, bh = (t[322][0], t[323][0]) if tiled else (width, min(t.get(278, (height,))[0], height))
     starts, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
-    across, down = -(-width // bw), -(-height // bh)
-    deep = bands if planar == 1 else 1
-    out = np.zeros((bands, height, width), dtype=kind.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(starts, sizes)):
-        block = raw[at : at + size]
-        block = zlib.decompress(block) if packed != 1 else block
-        plane, place = divmod(k, across * down)
-        y, x = place // across * bh, place % across * bw
-        rows = bh if tiled else min(bh, height - y)
-        a = np.frombuffer(block, kind, rows * bw * deep).reshape(rows, bw, deep)
-        if predictor == 2:
-            a = np.cumsum(a, axis=1, dtype=a.dtype)
-        h, w = min(rows, height - y), min(bw, width - x)
-        for b in range(deep):
-            out[plane + b if planar != 1 else b, y : y + h, x : x + w] = a[:h, :w, b]
+    return Layout(height, width, t.get(277, (1,))[0], bh, bw, tiled, t.get(284, (1,))[0], order + _TYPES[t.get(339, (1,))[0], t.get(258, (8,))[0]], packed, predictor, tuple(starts), tuple(sizes))
+
+
+def decode(raw: bytes) -> tuple[np.ndarray, dict]:
+    """(bands x height x width, grid) of an uncompressed or deflated file in strips or tiles.
+
+    grid: height, width, origin_x, origin_y, px_w, px_h and crs, of a north-up file.
+    """
+    order, t = tags(raw)
+    own = layout(order, t)
+    height, width = own.height, own.width
+    out = np.zeros((own.bands, height, width), dtype=np.dtype(own.kind).newbyteorder("="))
+    for k, (at, size) in enumerate(zip(own.starts, own.sizes)):
+        a, (y, x) = own.unpack(k, raw[at : at + size]), own.corner(k)
+        for b in range(a.shape[2]):
+            out[k // own.per_plane + b if own.planar != 1 else b, y : y + a.shape[0], x : x + a.shape[1]] = a[..., b]
     scale, tie = t.get(33550, (1.0, 1.0, 0.0)), t.get(33922, (0.0,) * 6)
     keys = t.get(34735, ())
     codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4)}
@@ -76,27 +128,43 @@ def decode(raw: bytes) -> tuple[np.ndarray, dict]:
     return out, grid
 
 
+def packed_strip(a: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(a.astype(a.dtype.newbyteorder("<"))).tobytes())
+
+
 def encode(bands: np.ndarray, origin: tuple[float, float], pixel: tuple[float, float], epsg: int = 4326, nodata: float | None = None) -> bytes:
     """A north-up, deflated GeoTIFF of bands x height x width in one strip per band."""
     n, height, width = bands.shape
-    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
-    strips = [zlib.compress(np.ascontiguousarray(b.astype(b.dtype.newbyteorder("<"))).tobytes()) for b in bands]
-    data = b"".join(strips)
-    starts = [8 + sum(map(len, strips[:k])) for k in range(n)]
-    entries = [(256, 4, [width]), (257, 4, [height]), (258, 3, [bands.dtype.itemsize * 8] * n), (259, 3, [8]), (262, 3, [1]), (273, 4, starts), (277, 3, [n]), (278, 4, [height]), (279, 4, [len(s) for s in strips]), (284, 3, [2]), (339, 3, [kind] * n), (33550, 12, [pixel[0], pixel[1], 0.0]), (33922, 12, [0.0, 0.0, 0.0, origin[0], origin[1], 0.0]), (34735, 3, [1, 1, 0, 2, 1024, 0, 1, 2 if epsg == 4326 else 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg])]
+    strips = [packed_strip(b) for b in bands]
+    head = header(bands.dtype.str, n, height, width, height, [len(s) for s in strips], origin, pixel, epsg, nodata)
+    return head + b"".join(strips)
+
+
+def header(dtype: str, n: int, height: int, width: int, rows: int, sizes: list[int], origin: tuple[float, float], pixel: tuple[float, float], epsg: int = 4326, nodata: float | None = None) -> bytes:
+    """What stands before the deflated strips, of `rows` rows each and the given sizes, of a file of n bands one after the other."""
+    own = np.dtype(dtype)
+    kind = {"u": 1, "i": 2, "f": 3}[own.kind]
+    shift = [0, *itertools.accumulate(sizes)][: len(sizes)]
+    entries = [(256, 4, [width]), (257, 4, [height]), (258, 3, [own.itemsize * 8] * n), (259, 3, [8]), (262, 3, [1]), (273, 4, shift), (277, 3, [n]), (278, 4, [rows]), (279, 4, sizes), (284, 3, [2]), (339, 3, [kind] * n), (33550, 12, [pixel[0], pixel[1], 0.0]), (33922, 12, [0.0, 0.0, 0.0, origin[0], origin[1], 0.0]), (34735, 3, [1, 1, 0, 2, 1024, 0, 1, 2 if epsg == 4326 else 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg])]
     if nodata is not None:
         entries.append((42113, 2, list(f"{nodata:g}\0".encode())))
-    at = 8 + len(data)
-    extra_at, extra, head = at + 2 + 12 * len(entries) + 4, b"", struct.pack("<H", len(entries))
+    fields, extra = [], b""
+    after = 8 + 2 + 12 * len(entries) + 4
     for tag, code, values in entries:
         body = bytes(values) if code == 2 else struct.pack(f"<{len(values)}{_CODES[code]}", *values)
-        if len(body) <= 4:
-            field = body.ljust(4, b"\0")
-        else:
-            field = struct.pack("<I", extra_at + len(extra))
-            extra += body + b"\0" * (len(body) % 2)
-        head += struct.pack("<HHI", tag, code, len(values)) + field
-    return b"II*\0" + struct.pack("<I", at) + data + head + b"\0\0\0\0" + extra
+        fields.append((tag, code, len(values), None if len(body) <= 4 else after + len(extra), body))
+        extra += b"" if len(body) <= 4 else body + b"\0" * (len(body) % 2)
+    first = after + len(extra)
+    if first + sum(sizes) >= 1 << 32:
+        raise ValueError("a file of 4 GB or more is no TIFF")
+    place = struct.pack(f"<{len(shift)}I", *[first + x for x in shift])
+    out = b""
+    for tag, code, count, where, body in fields:
+        body = place if tag == 273 else body
+        out += struct.pack("<HHI", tag, code, count) + (body.ljust(4, b"\0") if where is None else struct.pack("<I", where))
+        if tag == 273 and where is not None:
+            extra = extra[: where - after] + place + extra[where - after + len(place) :]
+    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(entries)) + out + b"\0\0\0\0" + extra
 
 
 def radar_bands(a: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
