@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that stage() wrote within scratch(), innermost last.
+_WITHIN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("within", default=None)
 #: Folders of the tables that stage() returned.
 _STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -39,6 +43,8 @@ def stage(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if (within := _WITHIN.get()) is not None:
+        within.append(path)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _STAGED[table] = path
@@ -49,9 +55,26 @@ def release(*tables: DataFrame) -> None:
     """Delete tables of stage() that nothing will read again; one that cannot be reached is left where it is."""
     for table in tables:
         if path := _STAGED.pop(table, None):
-            with contextlib.suppress(OSError):
-                fs, folder = filesystem(path)
-                fs.delete_dir(folder)
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    with contextlib.suppress(OSError):
+        fs, folder = filesystem(path)
+        fs.delete_dir(folder)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that stage() writes inside are deleted at the end: what they feed must be written elsewhere by then."""
+    paths: list[str] = []
+    token = _WITHIN.set(paths)
+    try:
+        yield
+    finally:
+        _WITHIN.reset(token)
+        for path in paths:
+            _delete(path)
 
 
 def _pair_hash(edges: DataFrame) -> tuple:

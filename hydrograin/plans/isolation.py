@@ -46,6 +46,12 @@ def settlements(layers: DataFrame, config: Config = DEFAULT, key: str = "aoi_id"
     return _points(layers.where("feature_type = 'place'"), "place", config.isolation.place_tags, key).withColumnRenamed("tag", "place")
 
 
+def check_classes(settlements: DataFrame) -> None:
+    """ValueError if a settlement has a class that is none of the known ones, or none at all."""
+    if row := settlements.where(~F.coalesce(F.col("class").isin(*graph.CLASSES), F.lit(False))).select("class").first():
+        raise ValueError(f"unexpected class {row[0]}")
+
+
 def isolation(layers: DataFrame, cells: DataFrame, grid: DataFrame, buildings: DataFrame | None = None, config: Config = DEFAULT, key: str = "aoi_id") -> Isolation:
     """Access of the settlements of all areas. buildings: the damage stage's, for counts around settlements (0 without)."""
     c = config.isolation

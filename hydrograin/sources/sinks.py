@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import filesystem, stage
+from . import tiff
+
+#: The properties of each layer's features, in the order of the output.
 COMMON = ("osm_id", "osm_type", "status", "confidence", "flooded_fraction", "clipped")
 PROPERTIES = {
     "buildings": (*COMMON, "sampled", "pixels", "mean_probability"),
@@ -59,13 +70,98 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def geotiff(cells: DataFrame, grid: DataFrame, value: str, dtype: str = "f4", nodata: float = 0.0, key: str = "aoi_id") -> DataFrame:
-    """(aoi_id, content): a GeoTIFF per area; its size is bounded by the cap on areas."""
-    import numpy as np
-    import pandas as pd
+def written(pieces: DataFrame, folder: str, suffix: str, separator: bytes = b"", head: bytes = b"", tail: bytes = b"", key: str = "aoi_id") -> DataFrame:
+    """(aoi_id, path, bytes): a file for each area from its pieces (aoi_id, place, content), in the order of their places.
+
+    Pieces run through a task one after the other, so a file may be larger than its memory. Head and tail enclose them, a
+    separator stands between those from place 0 on; null contents are left out, and an area of such alone still gets its
+    file. A file appears complete or not at all; files of areas with odd names get the name's digest.
+    """
+    kind = dict(pieces.dtypes)[key]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(folder)
+        fs.create_dir(top)
+        now, out, part, size, first, done = None, None, "", 0, True, []
+
+        def close() -> None:
+            nonlocal size
+            out.write(tail)
+            size += len(tail)
+            out.close()
+            name = str(now) if re.fullmatch(r"[\w-]{1,64}", str(now)) else hashlib.sha256(str(now).encode()).hexdigest()[:24]
+            fs.move(part, f"{top}/{name}{suffix}")
+            done.append((now, f"{folder}/{name}{suffix}", size))
+
+        for b in batches:
+            for area, place, content in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if out is None or area != now:
+                    if out is not None:
+                        close()
+                    now, part, size, first = area, f"{top}/.{uuid.uuid4().hex}", len(head), True
+                    out = fs.open_output_stream(part)
+                    out.write(head)
+                if content is not None:
+                    if place >= 0 and not first:
+                        content = separator + content
+                    first = first and place < 0
+                    out.write(content)
+                    size += len(content)
+        if out is not None:
+            close()
+        if done:
+            areas, paths, sizes = zip(*done)
+            yield pa.RecordBatch.from_arrays([pa.array(areas), pa.array(paths), pa.array(sizes, pa.int64())], [key, "path", "bytes"])
+
+    dealt = pieces.select(key, F.col("place").cast("long"), F.col("content").cast("binary").alias("content")).repartition(key).sortWithinPartitions(key, "place")
+    return dealt.mapInArrow(write, f"{key} {kind}, path string, bytes long")
+
+
+def write_collections(features: DataFrame, areas: DataFrame, folder: str, suffix: str, order: str, key: str = "aoi_id", crs: str = "urn:ogc:def:crs:EPSG::4326") -> DataFrame:
+    """written() GeoJSON collections of features (aoi_id, feature as text), one for each of the areas, empty ones included."""
+    head = json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": crs}}})[:-1] + ', "features": [\n'
+    pieces = features.select(key, F.col(order).cast("long").alias("place"), F.col("feature").cast("binary").alias("content"))
+    empty = areas.select(key, F.lit(-1).cast("long").alias("place"), F.lit(None).cast("binary").alias("content"))
+    return written(pieces.unionByName(empty), folder, suffix, b",\n", head.encode(), b"\n]}\n", key)
+
+
+def strips(cells: DataFrame, grid: DataFrame, value: str, dtype: str = "f4", nodata: float = 0.0, rows: int = 64, key: str = "aoi_id") -> DataFrame:
+    """(aoi_id, strip, content, size): deflated strips of so many rows of each area's grid, made in parallel; cells without a value are nodata."""
+    shape = grid.select(key, "height", "width")
+    kind = dict(cells.dtypes)[key]
+    own = cells.select(key, F.floor(F.col("row") / rows).cast("int").alias("strip"), "row", "col", F.col(value).cast("double").alias("v"))
+    # A strip without cells is all nodata: each has one row that says that it exists.
+    every = shape.select(key, F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / rows).cast("int"))).alias("strip"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(None).cast("double").alias("v"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        g, k = part.iloc[0], int(part["strip"].iloc[0])
+        a = np.full((min(rows, int(g["height"]) - k * rows), int(g["width"])), nodata, dtype=dtype)
+        has = part["v"].notna()
+        a[part.loc[has, "row"] - k * rows, part.loc[has, "col"]] = part.loc[has, "v"]
+        content = tiff.packed_strip(a)
+        return pd.DataFrame({key: [g[key]], "strip": [k], "content": [content], "size": [len(content)]})
+
+    placed = own.unionByName(every).join(shape, key)
+    return placed.groupBy(key, "strip").applyInPandas(pack, f"{key} {kind}, strip int, content binary, size int")
+
+
+def write_geotiffs(cells: DataFrame, grid: DataFrame, value: str, folder: str, suffix: str, dtype: str = "f4", nodata: float = 0.0, rows: int = 64, key: str = "aoi_id") -> DataFrame:
+    """written() GeoTIFF files: strips are packed in parallel, and put one after the other behind a header that their sizes give."""
+    packed = stage(strips(cells, grid, value, dtype, nodata, rows, key))
+    sizes = packed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("strip", "size"))), lambda x: x["size"]).alias("sizes"))
+    kind = dict(cells.dtypes)[key]
 
-    from . import tiff
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [tiff.header(np.dtype(dtype).newbyteorder("<").str, 1, int(g.height), int(g.width), rows, [int(x) for x in g.sizes], (g.origin_x, g.origin_y), (g.px_w, -g.px_h), nodata=nodata) for g in b.itertuples()]
+            yield pd.DataFrame({key: b[key], "place": -1, "content": made})
 
+    heads = grid.select(key, "height", "width", "origin_x", "origin_y", "px_w", "px_h").join(sizes, key).mapInPandas(head, f"{key} {kind}, place long, content binary")
+    return written(heads.unionByName(packed.select(key, F.col("strip").cast("long").alias("place"), "content")), folder, suffix, key=key)
+
+
+def geotiff(cells: DataFrame, grid: DataFrame, value: str, dtype: str = "f4", nodata: float = 0.0, key: str = "aoi_id") -> DataFrame:
+    """(aoi_id, content): a GeoTIFF per area; its size is bounded by the cap on areas."""
     rows = cells.select(key, "row", "col", F.col(value).cast("double").alias("v")).join(grid.select(key, "origin_x", "origin_y", "px_w", "px_h", "height", "width"), key)
     kind = dict(cells.dtypes)[key]
 
