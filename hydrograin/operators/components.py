@@ -6,30 +6,74 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DEFAULT
-from .tables import connected_components
+from .tables import connected_components, stage
 
 #: Steps to the neighbours that come later in row-major order.
 _LATER = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, -1), (1, 0), (1, 1))}
 
 
-def label_components(mask: DataFrame, connectivity: int = 8, key: str = "aoi_id") -> DataFrame:
+#: Rows and columns of a tile that one task labels by itself, and rows whose components are numbered together.
+SIDE, BAND = 512, 256
+
+
+def local_roots(row: np.ndarray, col: np.ndarray, connectivity: int) -> np.ndarray:
+    """Number (row << 31 + col) of the first cell, in row-major order, of the component of each cell; cells may repeat."""
+    number, at = np.unique(row.astype(np.int64) * (1 << 31) + col, return_inverse=True)
+    pairs = []
+    for dr, dc in _LATER[connectivity]:
+        to = number + (dr * (1 << 31) + dc)
+        place = np.minimum(np.searchsorted(number, to), len(number) - 1)
+        hit = np.flatnonzero(number[place] == to)
+        pairs.append((hit, place[hit]))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    root = np.arange(len(number))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return number[root][at]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not (root[root] == root).all():
+            root = root[root]
+
+
+def label_components(mask: DataFrame, connectivity: int = 8, key: str = "aoi_id", side: int = SIDE) -> DataFrame:
     """mask's cells (aoi_id, row, col, ...) with `component`, numbered from 1 by first pixel in row-major order.
 
-    Cells meet their neighbours through joins on the cell's number, and components form by the star steps:
-    no area has to fit into one task.
+    A task labels one tile. Only cells on the borders of tiles meet their neighbours by a join, and only components
+    that reach a border go through the star steps. Numbers count within bands of rows, and bands add up, so no area
+    has to fit into one task. Cells may repeat; row and col must not be null.
     """
-    at = mask.withColumn("_n", F.col("row").cast("long") * (1 << 31) + F.col("col")).withColumn("_k", F.xxhash64(key, "_n"))
-    ahead = at.select(key, "_k", F.explode(F.array(*[F.col("_n") + F.lit(dr * (1 << 31) + dc) for dr, dc in _LATER[connectivity]])).alias("_n"))
-    edges = ahead.select(key, "_n", F.col("_k").alias("a")).join(at.select(key, "_n", F.col("_k").alias("b")), [key, "_n"]).select("a", "b")
-    found = at.join(connected_components(edges).withColumnRenamed("node", "_k"), "_k", "left").withColumn("_c", F.coalesce("component", "_k")).drop("component")
-    first = found.groupBy(key, "_c").agg(F.min("_n").alias("_first"))
-    number = first.withColumn("component", F.row_number().over(W.partitionBy(key).orderBy("_first"))).drop("_first")
-    return found.join(number, [key, "_c"]).drop("_k", "_c", "_n")
+    home = lambda c: F.floor(F.col(c) / side).cast("int")
+    # Other columns travel in a struct: their names may be anything.
+    at = mask.select(key, "row", "col", F.struct("*").alias("_all"), home("row").alias("_ti"), home("col").alias("_tj"))
+
+    def label(rows: pa.Table) -> pa.Table:
+        found = local_roots(rows.column("row").to_numpy(), rows.column("col").to_numpy(), connectivity)
+        return rows.select([key, "row", "col", "_all"]).append_column("_root", pa.array(found))
+
+    cells = stage(at.groupBy(key, "_ti", "_tj").applyInArrow(label, StructType([*at.schema.fields[:4], StructField("_root", LongType())])))
+    edge = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
+    border = cells.where(edge("row") | edge("col")).select(key, "row", "col", "_root")
+    ahead = border.select("*", F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in _LATER[connectivity]])).alias("s"))
+    away = ahead.select(key, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.struct(F.col(key).alias("k"), F.col("_root").alias("n")).alias("a"))
+    met = away.join(border.select(key, "row", "col", F.struct(F.col(key).alias("k"), F.col("_root").alias("n")).alias("b")), [key, "row", "col"])
+    joined = connected_components(met.where("a != b").select("a", "b").distinct())
+    joined = joined.select(F.col("node.k").alias(key), F.col("node.n").alias("_root"), F.col("component.n").alias("_first"))
+    roots = cells.select(key, "_root").distinct().join(joined, [key, "_root"], "left").select(key, "_root", F.coalesce("_first", "_root").alias("_first"))
+    roots = stage(roots.withColumn("_band", F.floor(F.shiftright("_first", 31) / BAND)))
+    firsts = roots.where("_root = _first")
+    before = firsts.groupBy(key, "_band").agg(F.count("*").alias("n")).select(key, "_band", (F.sum("n").over(W.partitionBy(key).orderBy("_band")) - F.col("n")).alias("_before"))
+    number = firsts.select(key, "_band", "_first", F.row_number().over(W.partitionBy(key, "_band").orderBy("_first")).alias("_n")).join(before, [key, "_band"])
+    number = number.select(key, "_first", (F.col("_n") + F.col("_before")).cast("int").alias("component"))
+    numbered = roots.join(number, [key, "_first"]).select(key, "_root", "component")
+    return cells.join(numbered, [key, "_root"]).select("_all.*", "component")
 
 
 def large_components(labelled: DataFrame, least: int = DEFAULT.flood.min_component_size_px, key: str = "aoi_id") -> DataFrame:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from . import tiled
 from .raster import neighbourhood
+from .tiled import STEPS, accumulation, drainage
 
-#: Steps to the eight neighbours in the order that breaks ties: NW, N, NE, W, E, SW, S, SE.
-STEPS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
+__all__ = ["STEPS", "above_source", "accumulate", "accumulation", "drainage", "gradient", "landing_zones", "radar_shadow", "receivers", "slope_degrees", "trace_downstream", "trace_upstream"]
 
 
 def _along(line: str, place: str, z: str, key: str) -> Column:
@@ -63,39 +63,10 @@ def receivers(cells: DataFrame, x_m: Column | float, y_m: Column | float, z: str
     return found.withColumn("to_row", F.col("_best.r")).withColumn("to_col", F.col("_best.c")).drop("_best")
 
 
-def _dense(rows: pd.DataFrame, *values: str) -> tuple[int, int, list[np.ndarray]]:
-    r0, c0 = int(rows["row"].min()), int(rows["col"].min())
-    shape = int(rows["row"].max()) - r0 + 1, int(rows["col"].max()) - c0 + 1
-    out = []
-    for v in values:
-        a = np.full(shape, np.nan)
-        a[rows["row"] - r0, rows["col"] - c0] = rows[v].to_numpy(dtype=float, na_value=np.nan)
-        out.append(a)
-    return r0, c0, out
-
-
 def accumulate(z: np.ndarray, x_m: float, y_m: float) -> np.ndarray:
     """Cells that drain through each cell, itself included; sinks are not filled, missing cells count nothing."""
-    h, w = z.shape
-    padded = np.pad(z, 1, constant_values=np.nan)
-    falls = np.stack([(z - padded[1 + a : 1 + a + h, 1 + b : 1 + b + w]) / np.hypot(b * x_m, a * y_m) for a, b in STEPS])
-    falls = np.nan_to_num(falls, nan=-1.0)
-    best = falls.argmax(axis=0)
-    flat = np.arange(h * w).reshape(h, w)
-    step = np.array([a * w + b for a, b in STEPS])
-    to = np.where(falls.max(axis=0) > 0, flat + step[best], -1).ravel()
-    total = np.where(np.isnan(z), 0, 1).ravel()
-    # All cells whose inflow is complete hand on their total at once.
-    waits = np.bincount(to[to >= 0], minlength=h * w)
-    ready = np.flatnonzero(waits == 0)
-    while len(ready):
-        ready = ready[to[ready] >= 0]
-        below = to[ready]
-        np.add.at(total, below, total[ready])
-        np.subtract.at(waits, below, 1)
-        below = np.unique(below)
-        ready = below[waits[below] == 0]
-    return total.reshape(h, w)
+    step = tiled.targets(np.pad(z, 1, constant_values=np.nan), x_m, y_m)
+    return tiled.drained(tiled.inside(step), np.where(np.isnan(z), 0, 1).ravel()).reshape(z.shape)
 
 
 def above_source(z: np.ndarray, source: np.ndarray) -> np.ndarray:
@@ -119,30 +90,6 @@ def above_source(z: np.ndarray, source: np.ndarray) -> np.ndarray:
     return z - base.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
-def drainage(cells: DataFrame, threshold: int, x_m: Column | float, y_m: Column | float, z: str = "z", key: str = "aoi_id") -> DataFrame:
-    """cells' (aoi_id, row, col) with flow accumulation and hand, the height above the nearest drainage.
-
-    Drainage is where the accumulation reaches the threshold; without any, hand is null. Both walks follow the
-    whole area in order, so an area is one task; its size is bounded by the cap on areas (see preflight). x_m and y_m
-    are the sides of an area's cells: numbers, or columns of cells.
-    """
-    x_m, y_m = (F.lit(float(m)) if isinstance(m, (int, float)) else m for m in (x_m, y_m))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        r0, c0, (a,) = _dense(rows, z)
-        total = accumulate(a, float(rows["_x_m"].iloc[0]), float(rows["_y_m"].iloc[0]))
-        source = (total >= threshold) & ~np.isnan(a)
-        hand = above_source(a, source) if source.any() else np.full(a.shape, np.nan)
-        r, c = rows["row"].to_numpy() - r0, rows["col"].to_numpy() - c0
-        out = rows[[key, "row", "col"]].copy()
-        out["accumulation"] = total[r, c]
-        out["hand"] = pd.Series(hand[r, c], index=rows.index, dtype="Float64").mask(np.isnan(hand[r, c]))
-        return out
-
-    kind = dict(cells.dtypes)[key]
-    return cells.select(key, "row", "col", z, x_m.alias("_x_m"), y_m.alias("_y_m")).groupBy(key).applyInPandas(one, f"{key} {kind}, row int, col int, accumulation long, hand double")
-
-
 def _trace(step: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """Rows (row, col, start_row, start_col, step) that are reached by steps (row, col, next_row, next_col), one join for each."""
     from .tables import stage

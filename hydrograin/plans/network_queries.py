@@ -181,7 +181,7 @@ t AS (SELECT r, c, tr, tc FROM (SELECT *, row_number() OVER (PARTITION BY r, c O
 p AS (SELECT r, c FROM g UNION ALL SELECT t.tr, t.tc FROM p JOIN t ON p.r = t.r AND p.c = t.c)
 SELECT r AS row, c AS col, count(*) AS accumulation FROM p GROUP BY ALL""")
 def flow_accumulation(spark, sf):
-    return terrain.drainage(_grid_cells(spark, sf), 20, 30.0, 30.0).select("row", "col", "accumulation")
+    return terrain.accumulation(_grid_cells(spark, sf), 30.0, 30.0, side=64).select("row", "col", "accumulation")
 
 
 @query(f"WITH {_EDGES} SELECT round(sum(m), 3) AS length_m, round(sum(f), 3) AS flooded_m, round(sum(m * p), 3) AS weighted FROM e")

@@ -465,10 +465,18 @@ def mask_counts(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count_if(water).alias("water"), F.count_if(steep).alias("steep"), F.round(F.sum(classify.without(v, water, steep)), 2).alias("kept"))
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {_GRID}, s(dr, dc, o) AS (VALUES (-1,-1,0),(-1,0,1),(-1,1,2),(0,-1,3),(0,1,4),(1,-1,5),(1,0,6),(1,1,7)),
+f AS (SELECT a.r, a.c, b.r AS tr, b.c AS tc, o, (a.z - b.z) / sqrt(CAST(dc * 30 AS DOUBLE) ** 2 + CAST(dr * 30 AS DOUBLE) ** 2) AS fall FROM g a JOIN s ON true JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc),
+t AS (SELECT r, c, tr, tc FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY fall DESC, o) AS n FROM f WHERE fall > 0) WHERE n = 1),
+p AS (SELECT r, c FROM g UNION ALL SELECT t.tr, t.tc FROM p JOIN t ON p.r = t.r AND p.c = t.c),
+n AS (SELECT r, c, count(*) AS accumulation FROM p GROUP BY ALL),
+w(r, c, d, src) USING KEY (r, c) AS (
+  SELECT r, c, 0 AS d, CAST(r AS BIGINT) * 1000 + c AS src FROM n WHERE accumulation >= 20
+  UNION SELECT g.r, g.c, w.d + 1, min(w.src) FROM w JOIN s ON true JOIN g ON g.r = w.r + dr AND g.c = w.c + dc ANTI JOIN recurring.w v ON v.r = g.r AND v.c = g.c GROUP BY g.r, g.c, w.d)
+SELECT g.r AS row, g.c AS col, n.accumulation, g.z - b.z AS hand FROM g JOIN n ON n.r = g.r AND n.c = g.c LEFT JOIN w ON w.r = g.r AND w.c = g.c LEFT JOIN g b ON b.r = w.src // 1000 AND b.c = w.src % 1000""")
 def drainage_hand(spark, sf):
-    """Flow accumulation and height above drainage of the grid of events; checked by golden tests."""
-    return terrain.drainage(_grid_cells(spark, sf), 20, 30.0, 30.0).select("row", "col", "accumulation", "hand")
+    return terrain.drainage(_grid_cells(spark, sf), 20, 30.0, 30.0, side=64).select("row", "col", "accumulation", "hand")
 
 
 @query(None)
