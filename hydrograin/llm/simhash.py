@@ -18,24 +18,28 @@ remain are checked on the shingle sets themselves.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .shared import connected_components, read_table, stage
+from .shared import connected_components, filesystem, new_folder, read_table, release, stage
 
 #: (first bit, bits, radius) of each tree: exact for 3 differing bits of 64.
 BLOCKS_64 = ((0, 32, 1), (32, 32, 1))
 #: 24 trees over 576 bits: at a similarity of 0.8 a block differs in 1 bit or none with a chance of 0.10, and so one of
 #: 24 does with 0.93; at 0.85 with 0.99. STRETCH: bits that are compared in a leaf, from the block's own on.
-WIDE_BLOCKS, BITS, STRETCH, WIDE_LEAF, WIDE_CHUNK = tuple((24 * k, 24, 1) for k in range(24)), 576, 160, 8_192, 32_768
-#: Fingerprints that a leaf aims at, and the most that one side of a comparison holds.
+WIDE_BLOCKS, BITS, STRETCH, WIDE_SHARD, WIDE_CHUNK = tuple((24 * k, 24, 1) for k in range(24)), 576, 160, 1 << 20, 1 << 21
+#: Fingerprints that a shard aims at, and the most that one side of a comparison holds.
 LEAF, CHUNK = 4_096, 16_384
+#: Shards above this grow on as trees inside their task, until leaves have as many points or DEEPEST levels are reached.
+WITHIN, DEEPEST = 1_024, 60
 #: The list of leaves over CHUNK is broadcast up to this many rows; with more of them the trees grow deeper.
 BROADCAST_LEAVES = 500_000
 #: What a level leaves of a shard, overlaps included, for evenly spread fingerprints.
@@ -119,20 +123,38 @@ def _block(octets: np.ndarray, first: int, bits: int) -> np.ndarray:
     return part
 
 
+def _vantage(node: np.ndarray, tree: int, bits: int) -> np.ndarray:
+    """Vantage points of nodes."""
+    with np.errstate(over="ignore"):
+        return _mix(node * _ODD[0] + np.uint64(tree + 1) * _ODD[1]) & np.uint64((1 << bits) - 1)
+
+
 def route(points: np.ndarray, tree: int, bits: int, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every shard that the points belong to in a tree of the given depth."""
-    row, node = np.arange(len(points)), np.ones(len(points), dtype=np.uint64)
-    mask, t = np.uint64((1 << bits) - 1), bits // 2
+    row, node, t = np.arange(len(points)), np.ones(len(points), dtype=np.uint64), bits // 2
     for _ in range(depth):
-        with np.errstate(over="ignore"):
-            vantage = _mix(node * _ODD[0] + np.uint64(tree + 1) * _ODD[1]) & mask
-        d = np.bitwise_count(points[row] ^ vantage).astype(np.int16)
+        d = np.bitwise_count(points[row] ^ _vantage(node, tree, bits)).astype(np.int16)
         inside, outside = d <= t, d > t - radius
         row = np.concatenate([row[inside], row[outside]])
         node = np.concatenate([node[inside] << np.uint64(1), (node[outside] << np.uint64(1)) | np.uint64(1)])
     return row, node
 
 
+def grown(points: np.ndarray, tree: int, bits: int, radius: int, node: int, depth: int) -> Iterator[np.ndarray]:
+    """Rows of each leaf of the tree below a node at that depth, one leaf at a time, of WITHIN points or fewer if the points allow.
+
+    The same overlap as in route(): near points share a leaf. Points that no vantage point parts stay together.
+    """
+    todo, t = [(np.arange(len(points)), node, depth)], bits // 2
+    while todo:
+        rows, node, depth = todo.pop()
+        if len(rows) <= WITHIN or depth >= DEEPEST:
+            yield rows
+            continue
+        d = np.bitwise_count(points[rows] ^ _vantage(np.array([node], dtype=np.uint64), tree, bits)[0]).astype(np.int16)
+        todo += [(rows[d <= t], 2 * node, depth + 1), (rows[d > t - radius], 2 * node + 1, depth + 1)]
+
+
 def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A spanning forest of least weights of the edges (a, b, w) over n nodes: each part takes its least edge, until none is left."""
     order = np.lexsort((b, a, w))
@@ -164,15 +186,12 @@ def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndar
     return a[at], b[at], w[at]
 
 
-def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, bits: int, radius: int, most: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, of least distances, of the near pairs in one comparison: at most one link less than points.
+def _near(words: np.ndarray, side: np.ndarray, octets: np.ndarray, radius: int, most: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest (a, b, distance), of least distances, of the near pairs in one comparison: at most one link less than points.
 
     Pairs are brought down to a forest whenever there are several times as many as points.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, side, octets = ids[order], side[order], octets[order]
-    words = _block(octets, 0, bits)
-    left = np.flatnonzero(side == 0) if across else np.arange(len(ids))
+    left = np.flatnonzero(side == 0) if across else np.arange(len(words))
     right = np.flatnonzero(side == 1) if across else left
     none = np.zeros(0, dtype=np.int64)
     found, size = [(none, none, none)], 0
@@ -189,9 +208,26 @@ def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, bits: int, rad
             near = d <= most
             found.append((p[near], q[near], d[near]))
             size += int(near.sum())
-            if size > 4 * len(ids):
-                found = [forest(*(np.concatenate(x) for x in zip(*found)), len(ids))]
+            if size > 4 * len(words):
+                found = [forest(*(np.concatenate(x) for x in zip(*found)), len(words))]
                 size = 0
+    return forest(*(np.concatenate(x) for x in zip(*found)), len(words))
+
+
+def _links(ids: np.ndarray, side: np.ndarray, octets: np.ndarray, shard: tuple[int, int, int], bits: int, radius: int, most: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, of least distances, of the near pairs in a shard (tree, node, depth), whose tree goes on inside."""
+    order = np.argsort(ids, kind="stable")
+    ids, side, octets = ids[order], side[order], octets[order]
+    words = _block(octets, 0, bits)
+    none = np.zeros(0, dtype=np.int64)
+    found, size = [(none, none, none)], 0
+    for rows in grown(words, shard[0], bits, radius, *shard[1:]):
+        a, b, w = _near(words[rows], side[rows], octets[rows], radius, most, across)
+        found.append((rows[a], rows[b], w))
+        size += len(a)
+        if size > 4 * len(ids):
+            found = [forest(*(np.concatenate(x) for x in zip(*found)), len(ids))]
+            size = 0
     a, b, _ = forest(*(np.concatenate(x) for x in zip(*found)), len(ids))
     return ids[a], ids[b]
 
@@ -201,9 +237,9 @@ def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, stre
     block on, round the end, differ in `most` or fewer. With all bits in the stretch and blocks that are exact for
     `most`, the components of the links are those of all pairs at that distance.
 
-    points: ids are distinct. They travel packed, one binary per leaf and batch. Leaves above `chunk` points are
-    compared part by part, so no task holds more than two parts; every comparison returns a spanning forest of the
-    least distances, not all pairs.
+    points: ids are distinct. They travel packed, one binary per shard and batch, to shards that aim at `leaf` points; a
+    tree goes on inside its task, without sending anything. Shards above `chunk` points are compared part by part, so
+    no task holds more than two parts; every comparison returns a spanning forest of the least distances, not all pairs.
     """
     width = stretch // 8
     points = points.select("id", "fp")
@@ -228,10 +264,12 @@ def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, stre
         return stage(counted.where(F.col("n") > chunk))
 
     large = large_leaves(depth)
-    while large.count() > BROADCAST_LEAVES and depth < 60:
+    while large.count() > BROADCAST_LEAVES and depth < DEEPEST:
         depth += 1
+        release(large)
         large = large_leaves(depth)
     parts = {(r["tree"], r["node"]): -(-r["n"] // chunk) for r in large.toLocalIterator()}
+    release(large)
     parts = points.sparkSession.sparkContext.broadcast(parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,16 +300,16 @@ def near_links(points: DataFrame, blocks: tuple = BLOCKS_64, most: int = 3, stre
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                tree, i, j, rows = (b.column(c)[k].as_py() for c in range(4))
+                tree, node, i, j, rows = (b.column(c)[k].as_py() for c in range(5))
                 blobs = [np.frombuffer(r["blob"], dtype=np.uint8).reshape(-1, 8 + width) for r in rows]
                 side = np.concatenate([np.full(len(x), r["side"]) for x, r in zip(blobs, rows)])
                 every = np.concatenate(blobs)
                 if len(every) > 1:
                     ids = np.ascontiguousarray(every[:, :8]).view("<i8").ravel()
-                    a, c = _links(ids, side, np.ascontiguousarray(every[:, 8:]), *blocks[tree][1:], most, i != j)
+                    a, c = _links(ids, side, np.ascontiguousarray(every[:, 8:]), (tree, node, depth), *blocks[tree][1:], most, i != j)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    return sides.select("tree", "i", "j", "rows").mapInArrow(compare, "a long, b long")
+    return sides.select("tree", "node", "i", "j", "rows").mapInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, n_bits: int = 64, blocks: tuple = BLOCKS_64, most: int = 3) -> DataFrame:
@@ -300,7 +338,7 @@ def wide_distance(similarity: float, n_bits: int = STRETCH, deviations: float =
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """(row, doc STRUCT of all columns, set LONG, fp BINARY) of each row, written out: its number, the hash and the SimHash of its shingle set."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,15 +367,52 @@ def close_links(links: DataFrame, points: DataFrame, most: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
+def picked(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """The rows (row, ...) whose number is among ids (row), without a shuffle of rows: they stay where they are read.
+
+    Numbers are those of monotonically_increasing_id(): the numbers that one partition gave go to one small file in the
+    folder, and a task reads the files of the partitions that its rows come from. Files appear complete or not at all,
+    and a repeated task writes the same.
+    """
+
+    def write(table: pa.Table) -> pa.Table:
+        fs, top = filesystem(folder)
+        part = table.column("part")[0].as_py()
+        with fs.open_output_stream(path := f"{top}/.{part}.{uuid.uuid4().hex}") as f:
+            f.write(np.sort(table.column("row").to_numpy()).astype("<i8").tobytes())
+        fs.move(path, f"{top}/{part}")
+        return pa.table({"part": [part]})
+
+    dealt = ids.select("row", F.shiftright("row", 33).alias("part"))
+    stage(dealt.groupBy("part").applyInArrow(write, "part long"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(folder)
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            row = b.column(0).to_numpy()
+            part = row >> 33
+            keep = np.zeros(len(row), bool)
+            for p in np.unique(part).tolist():
+                if p not in known:
+                    path = f"{top}/{p}"
+                    there = fs.get_file_info(path).type == FileType.File
+                    known = {p: np.frombuffer(fs.open_input_file(path).read() if there else b"", "<i8")}
+                keep |= (part == p) & np.isin(row, known[p], kind="sort")
+            yield b.filter(pa.array(keep))
+
+    return rows.mapInArrow(pick, rows.schema)
+
+
 def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between different shingle sets of rows (see sketched()), each of that Jaccard similarity or more."""
+    """Links (a, b) between different shingle sets of rows (see sketched()), each of that Jaccard similarity or more; written out."""
     points = stage(rows.groupBy("set").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
-    found = near_links(points.select(F.col("set").alias("id"), "fp"), WIDE_BLOCKS, wide_distance(similarity), STRETCH, WIDE_LEAF, WIDE_CHUNK)
-    found = stage(close_links(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), points, wide_distance(similarity, BITS, 3)))
-    ends = found.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    # Written out, so that Spark knows its size before it decides whether the texts must be shuffled.
-    ends = stage(points.select("set", "row").join(ends, "set"))
-    texts = ends.join(rows.select("row", F.col("doc.text").cast("string").alias("text")), "row").select("set", "text")
+    near = near_links(points.select(F.col("set").alias("id"), "fp"), WIDE_BLOCKS, wide_distance(similarity), STRETCH, WIDE_SHARD, WIDE_CHUNK)
+    near = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = stage(close_links(near, points, wide_distance(similarity, BITS, 3)))
+    release(near)
+    ends = points.select("set", "row").join(found.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set")
+    texts = picked(rows.select("row", "set", F.col("doc.text").cast("string").alias("text")), ends, new_folder(rows.sparkSession)).select("set", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,6 +422,7 @@ def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["set", "members"])
 
     sets = stage(texts.mapInArrow(members, "set long, members binary"))
+    release(points)
     both = found.join(sets.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a")
     both = both.join(sets.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
@@ -359,7 +435,9 @@ def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    links = stage(both.mapInArrow(check, "a long, b long"))
+    release(sets, found)
+    return links
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -368,15 +446,17 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     Rows are linked if their sets of word shingles have at least that Jaccard similarity; groups are what links reach.
     Candidates come from vantage-point trees over wide fingerprints; each is checked on the whole sets, so no link is
     wrong, and the share of links found is that of WIDE_BLOCKS. Texts with equal sets, null and empty ones among them, are
-    copies. A null doc_id counts as larger than all others. All columns stay as they are.
+    copies. A null doc_id counts as larger than all others. All columns stay as they are, whatever their names.
     """
     rows = sketched(docs, shingle)
-    component = connected_components(similar_links(rows, shingle, similarity))
+    links = similar_links(rows, shingle, similarity)
+    component = connected_components(links)
+    release(links)
     order = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").cast("long").alias("id"), F.col("row"))
     first = rows.groupBy("set").agg(F.min(order).alias("first"))
     first = first.join(component, first["set"] == component["node"], "left").select(F.coalesce("component", "set").alias("c"), "first")
     kept = first.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return rows.select("row", "doc").join(stage(kept), "row", "left_semi").select("doc.*")
+    return picked(rows.select("row", "doc"), kept, new_folder(docs.sparkSession)).select("doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
