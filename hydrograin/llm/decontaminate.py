@@ -168,18 +168,20 @@ def _merge(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no window of an item."""
-    spark, kept = docs.sparkSession, docs
-    at = docs.columns.index("text")
+    spark = docs.sparkSession
+    # All columns of docs lie in one struct: their names may be anything.
+    kept = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("doc"))
+    schema = kept.schema
     for part in _parts(benchmark, limit):
         shared = spark.sparkContext.broadcast(_automaton(part, width))
 
         def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for b in batches:
-                yield b.filter(pa.array([not occurs(t, automaton) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not occurs(t, automaton) for t in b.column(0).to_pylist()], pa.bool_()))
 
-        kept = kept.mapInArrow(of, docs.schema)
-    return kept
+        kept = kept.mapInArrow(of, schema)
+    return kept.select("doc.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

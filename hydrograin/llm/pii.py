@@ -250,11 +250,11 @@ def pseudonymised(docs: DataFrame, key: str, name: str = "pii") -> DataFrame:
     """
     text = F.col("text").cast("string")
     spans = "array<struct<kind:string,n:int,new:string>>"
-    kept = [c for c in docs.columns if c != name]
+    docs = docs.drop(name)
     some = F.coalesce(text.rlike(ANY), F.lit(False))
-    plain = docs.where(~some).select(*kept, F.struct(text.alias("text"), F.array().cast(spans).alias("spans")).alias(name))
+    plain = docs.where(~some).withColumn(name, F.struct(text.alias("text"), F.array().cast(spans).alias("spans")))
     # All columns of docs lie in one struct: none can clash with those beside it.
-    hit = stage(docs.where(some).select(F.monotonically_increasing_id().alias("row"), F.struct(*kept).alias("doc"), _found(text).alias("found")))
+    hit = stage(docs.where(some).select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), _found(text).alias("found")))
     mention = hit.select("row", F.explode("found").alias("x")).where("x.m IS NOT NULL").select("row", "x.i", F.col("x.m").alias("raw")).withColumn("kind", _kind(F.col("raw")))
     mention = mention.withColumn("normal", _normal(F.col("kind"), F.col("raw")))
     known = surrogates(mention.select("kind", "normal").distinct(), key)

@@ -151,8 +151,7 @@ def judged(docs: DataFrame, order: Sequence[str] | None = None, figures: Sequenc
 
     Every row keeps its place, repeated ones and those without a doc_id, too.
     """
-    kept = [c for c in docs.columns if c != name]
-    return docs.select(*kept, verdict(F.col("text"), order or order_of(docs), figures).alias(name))
+    return docs.drop(name).withColumn(name, verdict(F.col("text"), order or order_of(docs), figures))
 
 
 def accepted(docs: DataFrame, order: Sequence[str] | None = None) -> DataFrame:

@@ -114,7 +114,7 @@ def scanned(docs: DataFrame, name: str = "secrets") -> DataFrame:
 
     Offsets are code points, the end exclusive. Every row keeps its place, repeated ones and null ids, too.
     """
-    return docs.select(*[c for c in docs.columns if c != name], spans_of(F.col("text")).alias(name))
+    return docs.drop(name).withColumn(name, spans_of(F.col("text")))
 
 
 def _without(text: Column, spans: Column, mark: str) -> Column:
@@ -146,7 +146,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     text = F.col("text")
     clean = let(spans_of(text)["spans"], lambda s: F.when(F.size(s) > 0, _without(text, s, mark)).otherwise(text))
-    return docs.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return docs.withColumn("text", clean)
 
 
 def _joined(spans: Column) -> Column:

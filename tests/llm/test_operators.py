@@ -583,3 +583,24 @@ def test_warc_finds_damage(spark):
             warc.dechunked(broken)
     with pytest.raises(ValueError):
         warc._page(1, "response", None, None, "0" * 40, b"HTTP/1.1 200 OK\r\n\r\n" + warc.chunked(b"x"))
+
+
+# --- names of columns ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "f",
+    [
+        lambda d, b: quality.judged(d), lambda d, b: quality.accepted(d), lambda d, b: secrets.scanned(d), lambda d, b: secrets.redacted(d), lambda d, b: pii.pseudonymised(d, "k"),
+        lambda d, b: simhash.deduplicated(d), lambda d, b: decontaminate.clean(d, b), lambda d, b: decontaminate.contamination(d, b),
+        lambda d, b: simhash.near_groups(d), lambda d, b: bpe.encoded(d, bpe.vocabulary()),
+    ],
+    ids=["judged", "accepted", "scanned", "redacted", "pseudonymised", "deduplicated", "clean", "contamination", "near_groups", "encoded"],
+)
+def test_any_column_names(spark, f):
+    text = " ".join(f"wort{i}" for i in range(60))
+    d = docs(spark, text, text + " mail a.b@example.org", None).withColumns({"a.b": F.lit(1), "x y": F.lit(2), "q`r": F.lit(3)})
+    found = f(d, spark.createDataFrame([(1, "one two")], "item_id long, text string").withColumn("c.d", F.lit(1)))
+    assert found.collect() is not None
+    if "a.b" in found.columns:
+        assert {"x y", "q`r"} <= set(found.columns) and all(r["a.b"] == 1 for r in found.collect())
