@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,24 +70,100 @@ def covered_cells(shapes: DataFrame, grid: DataFrame, inside, pad: Column | floa
     return s.select(key, "shape_id", F.explode(hits).alias("_h")).select(key, "shape_id", "_h.row", "_h.col")
 
 
+def _first_centre(x: np.ndarray, origin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first column whose centre lies at x or behind it."""
+    c = np.ceil((x - origin) / size - 0.5)
+    for shift in (-1, 1):  # where rounding has missed it by one
+        centre = origin + (c + min(shift, 0) + 0.5) * size
+        c = np.where(centre >= x, c - 1, c) if shift < 0 else np.where(centre < x, c + 1, c)
+    return c
+
+
+def scan_lines(owner: np.ndarray, sides: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (owner, row, first column, end column) of cells whose centre lies inside shapes, from all their sides at once.
+
+    owner: the shape of each side (x1, y1, x2, y2); grid: (origin_x, origin_y, px_w, px_h, height, width) of each shape. A
+    row's crossings with the sides, in order, bound the spans by pairs: holes and several parts are one rule.
+    """
+    x1, y1, x2, y2 = sides.T
+    ox, oy, pw, ph, height, width = grid[owner].T
+    low = np.ceil((np.maximum(y1, y2) - oy) / ph - 0.5) - 1
+    high = np.floor((np.minimum(y1, y2) - oy) / ph - 0.5) + 1
+    low, high = np.clip(low, 0, height), np.clip(high, -1, height - 1)
+    n = np.maximum(high - low + 1, 0).astype(np.int64)
+    side = np.repeat(np.arange(len(owner)), n)
+    row = low[side] + np.arange(len(side)) - np.repeat(np.cumsum(n) - n, n)
+    y = oy[side] + (row + 0.5) * ph[side]
+    cuts = (y1[side] > y) != (y2[side] > y)
+    side, row, y = side[cuts], row[cuts], y[cuts]
+    x = x1[side] + (y - y1[side]) * (x2[side] - x1[side]) / (y2[side] - y1[side])
+    of = owner[side]
+    order = np.lexsort((x, row, of))
+    of, row, x, side = of[order], row[order], x[order], side[order]
+    # Rings are closed, so each row of a shape has an even number of crossings.
+    a, b = slice(0, None, 2), slice(1, None, 2)
+    c0 = np.clip(_first_centre(x[a], ox[side[a]], pw[side[a]]), 0, width[side[a]])
+    c1 = np.clip(_first_centre(x[b], ox[side[b]], pw[side[b]]), 0, width[side[b]])
+    some = c1 > c0
+    return of[a][some], row[a][some].astype(np.int64), c0[some].astype(np.int64), c1[some].astype(np.int64)
+
+
+def polygon_cells(shapes: DataFrame, grid: DataFrame, key: str = "aoi_id") -> DataFrame:
+    """(aoi_id, shape_id, row, col): cells whose centre lies inside polygons (aoi_id, shape_id, parts) with closed rings.
+
+    Scan lines over batches of shapes; only the rows that a side crosses are looked at, whatever lies between.
+    """
+    names = ("origin_x", "origin_y", "px_w", "px_h", "height", "width")
+    placed = shapes.select(key, "shape_id", "parts").join(grid.select(key, *names), key)
+    kinds = dict(placed.dtypes)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                rings = part.column(2)
+                first = rings.offsets.to_numpy()
+                points = rings.values.field("points")
+                bounds = points.offsets.to_numpy()
+                xy = np.stack([points.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+                ring_of = np.repeat(np.arange(part.num_rows), np.diff(first))
+                ring = np.arange(first[0], first[-1])
+                sizes = np.maximum(bounds[ring + 1] - bounds[ring] - 1, 0)
+                start = np.repeat(bounds[ring], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                g = np.stack([part.column(3 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(6)], axis=1)
+                owner, row, c0, c1 = scan_lines(np.repeat(ring_of, sizes), np.hstack([xy[start], xy[start + 1]]), g)
+                size = c1 - c0
+                upto = np.cumsum(size)
+                lo = 0
+                while lo < len(size):  # so many spans at once that their cells stay below about a million
+                    hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), side="right")))
+                    n = size[lo:hi]
+                    col = np.repeat(c0[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    which = pa.array(np.repeat(owner[lo:hi], n))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), pa.array(np.repeat(row[lo:hi], n).astype(np.int32)), pa.array(col.astype(np.int32))], [key, "shape_id", "row", "col"])
+                    lo = hi
+
+    return placed.mapInArrow(of, f"{key} {kinds[key]}, shape_id {kinds['shape_id']}, row int, col int")
+
+
 def footprint_stats(shapes: DataFrame, hits: DataFrame, cells: DataFrame, grid: DataFrame, threshold: float = DEFAULT.flood.probability_threshold, key: str = "aoi_id") -> DataFrame:
     """Per shape: pixel_count, flooded_fraction, mean_probability, sampled_centroid.
 
-    Shapes (aoi_id, shape_id, point (x, y)) that cover no cell centre are read at their representative point,
-    0 outside the raster.
+    Shapes (aoi_id, shape_id, and point (x, y) or kind and parts) that cover no cell centre are read at their
+    representative point, 0 outside the raster.
     """
     p = F.coalesce("probability", F.lit(0.0)).cast("double")
     cover = hits.join(cells.select(key, "row", "col", "probability"), [key, "row", "col"]).groupBy(key, "shape_id")
     cover = cover.agg(F.count("*").alias("pixel_count"), F.count_if(p >= threshold).alias("_flooded"), F.sum(p).alias("_sum"))
-    joined = shapes.select(key, "shape_id", "point.x", "point.y").join(cover, [key, "shape_id"], "left")
-    bare = point_lookup(joined.where("pixel_count IS NULL").select(key, "shape_id", "x", "y"), cells, grid, "probability", key=key)
+    bare = shapes.join(cover.select(key, "shape_id"), [key, "shape_id"], "left_anti")
+    if "point" not in shapes.columns:
+        bare = bare.select(key, "shape_id", wkb.representative_point(F.col("kind"), F.col("parts")).alias("point"))
+    bare = point_lookup(bare.select(key, "shape_id", "point.x", "point.y"), cells, grid, "probability", key=key)
     bare = bare.select(key, "shape_id", F.lit(0).cast("long").alias("pixel_count"), F.when(p >= threshold, 1.0).otherwise(0.0).alias("flooded_fraction"), p.alias("mean_probability"), F.lit(True).alias("sampled_centroid"))
-    full = joined.where("pixel_count IS NOT NULL").select(key, "shape_id", "pixel_count", (F.col("_flooded") / F.col("pixel_count")).alias("flooded_fraction"), (F.col("_sum") / F.col("pixel_count")).alias("mean_probability"), F.lit(False).alias("sampled_centroid"))
+    full = shapes.select(key, "shape_id").join(cover, [key, "shape_id"]).select(key, "shape_id", "pixel_count", (F.col("_flooded") / F.col("pixel_count")).alias("flooded_fraction"), (F.col("_sum") / F.col("pixel_count")).alias("mean_probability"), F.lit(False).alias("sampled_centroid"))
     return full.unionByName(bare)
 
 
 def footprints(shapes: DataFrame, cells: DataFrame, grid: DataFrame, threshold: float = DEFAULT.flood.probability_threshold, key: str = "aoi_id") -> DataFrame:
     """footprint_stats of polygons (aoi_id, shape_id, kind, parts) in grid coordinates."""
-    placed = shapes.select(key, "shape_id", wkb.bounds(F.col("parts")).alias("box"), wkb.sides(F.col("parts")).alias("edges"), wkb.representative_point(F.col("kind"), F.col("parts")).alias("point"))
-    hits = covered_cells(placed, grid, lambda x, y: wkb.contains(F.col("edges"), x, y), key=key)
-    return footprint_stats(placed, hits, cells, grid, threshold, key)
+    return footprint_stats(shapes.select(key, "shape_id", "kind", "parts"), polygon_cells(shapes, grid, key), cells, grid, threshold, key)

@@ -123,37 +123,68 @@ def components_min_size(spark, sf):
     return components.large_components(labelled, 3).select("row", "col", "component", "pixel_count")
 
 
-@query(f"WITH {_GRID} SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, z FROM range(50) a(i), range(50) b(j) LEFT JOIN g ON g.r = floor((i + 0.5) * 2.5) AND g.c = floor((j + 0.5) * 2.5)")
+_HEIGHT = "k AS (SELECT max(event_id) // 100 + 1 AS height FROM events)"
+
+
+def _whole_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid that the events fill: one row."""
+    height = (F.floor(F.max("event_id") / 100) + 1).cast("int")
+    return table(spark, sf, "events").agg(height.alias("height")).select(F.lit(0).alias("aoi_id"), F.lit(0.0).alias("origin_x"), F.lit(0.0).alias("origin_y"), F.lit(1.0).alias("px_w"), F.lit(-1.0).alias("px_h"), "height", F.lit(100).alias("width"))
+
+
+@query(f"WITH {_GRID}, {_HEIGHT} SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, z FROM (SELECT unnest(range(CAST(ceil(height / 2.5) AS BIGINT) + 2)) AS i FROM k), range(44) b(j) LEFT JOIN g ON g.r = floor((i + 0.5) * 2.5) AND g.c = floor((j + 0.5) * 2.5)")
 def grid_resample_nearest(spark, sf):
-    grids = spark.sql("SELECT 0 AS aoi_id, 0D AS origin_x, 0D AS origin_y, 1D AS px_w, -1D AS px_h, 50 AS height, 50 AS width")
-    coarse = grids.withColumns({"px_w": F.lit(2.5), "px_h": F.lit(-2.5)})
-    return raster.resample_nearest(_grid_cells(spark, sf), grids, coarse, "z").select("row", "col", "z")
+    grid = _whole_grid(spark, sf)
+    coarse = grid.withColumns({"px_w": F.lit(2.5), "px_h": F.lit(-2.5), "height": (F.ceil(F.col("height") / 2.5) + 2).cast("int"), "width": F.lit(44)})
+    return raster.resample_nearest(_grid_cells(spark, sf), grid, coarse, "z").select("row", "col", "z")
 
 
-@query(f"WITH {_GRID}, p AS (SELECT c_custkey AS k, (c_custkey * 37 % 1200) / 10.0::DOUBLE AS x, -((c_custkey * 91 % 1100) / 10.0::DOUBLE) AS y FROM customer) SELECT k, z FROM p LEFT JOIN g ON g.c = floor(x) AND g.r = floor(-y)")
+@query(f"WITH {_GRID}, {_HEIGHT}, p AS (SELECT c_custkey AS k, (c_custkey * 37 % 1200) / 10.0::DOUBLE AS x, -((c_custkey * 9173 % (10 * height + 100)) / 10.0::DOUBLE) AS y FROM customer, k) SELECT k, z FROM p LEFT JOIN g ON g.c = floor(x) AND g.r = floor(-y)")
 def raster_point_lookup(spark, sf):
-    k = F.col("c_custkey")
-    points = table(spark, sf, "customer").select(F.lit(0).alias("aoi_id"), k.alias("k"), (k * 37 % 1200 / 10.0).alias("x"), (-(k * 91 % 1100 / 10.0)).alias("y"))
-    grid = spark.sql("SELECT 0 AS aoi_id, 0D AS origin_x, 0D AS origin_y, 1D AS px_w, -1D AS px_h")
+    k, grid = F.col("c_custkey"), _whole_grid(spark, sf)
+    points = table(spark, sf, "customer").crossJoin(F.broadcast(grid.select("height")))  # the grid is one row
+    points = points.select(F.lit(0).alias("aoi_id"), k.alias("k"), (k * 37 % 1200 / 10.0).alias("x"), (-(k * 9173 % (10 * F.col("height") + 100) / 10.0)).alias("y"))
     return raster.point_lookup(points, _grid_cells(spark, sf), grid, "z").select("k", "z")
 
 
+def _shape_stats(spark: SparkSession, sf: str, kind: str, rings) -> DataFrame:
+    """Cells of a shape for each part; rings(x0, y0) are lists of corners, y0 counted down from the top of the whole grid."""
+    grid, k = _whole_grid(spark, sf), F.col("p_partkey")
+    at = lambda p: F.struct(p[0].cast("double").alias("x"), (-p[1]).cast("double").alias("y"))
+    placed = table(spark, sf, "part").crossJoin(F.broadcast(grid.select("height")))  # the grid is one row
+    x0, y0 = k * 37 % 92 + F.lit(0.2), k * 9173 % (F.col("height") - 8) + F.lit(0.2)
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), F.lit(i).alias("ring"), F.array(*map(at, ring), at(ring[0])).alias("points")) for n, i, ring in rings(x0, y0)])
+    shapes = placed.select(F.lit(0).alias("aoi_id"), k.alias("shape_id"), F.lit(kind).alias("kind"), parts.alias("parts"))
+    cells = _grid_cells(spark, sf).withColumnRenamed("z", "probability")
+    found = spatial.footprints(shapes, cells, grid, 50.0)
+    return found.select(F.col("shape_id").alias("k"), "pixel_count", F.round("flooded_fraction", 6).alias("flooded_fraction"), F.round("mean_probability", 8).alias("mean_probability"), "sampled_centroid")
+
+
+_PLACED = "p_partkey AS k, p_partkey * 37 % 92 + 0.2::DOUBLE AS x0, p_partkey * 9173 % (height - 8) + 0.2::DOUBLE AS y0"
+
+
 @query(f"""
-WITH {_GRID}, b AS (SELECT p_partkey AS k, p_partkey * 37 % 95 + 0.2::DOUBLE AS x0, p_partkey * 91 % 90 + 0.2::DOUBLE AS y0, p_size % 5 + 0.6::DOUBLE AS s FROM part),
+WITH {_GRID}, {_HEIGHT}, b AS (SELECT {_PLACED}, p_size % 5 + 0.6::DOUBLE AS s FROM part, k),
 h AS (SELECT k, count(z) AS n, count(*) FILTER (z >= 50) AS f, sum(z) AS t FROM b JOIN g ON g.c + 0.5 > x0 AND g.c + 0.5 < x0 + s AND g.r + 0.5 > y0 AND g.r + 0.5 < y0 + s GROUP BY 1)
 SELECT b.k, coalesce(n, 0) AS pixel_count, round(CASE WHEN n > 0 THEN CAST(f AS DOUBLE) / n WHEN coalesce(g.z, 0) >= 50 THEN 1.0 ELSE 0.0 END, 6) AS flooded_fraction,
   round(CASE WHEN n > 0 THEN t / n ELSE coalesce(g.z, 0) END, 8) AS mean_probability, n IS NULL AS sampled_centroid
 FROM b LEFT JOIN h ON b.k = h.k LEFT JOIN g ON h.k IS NULL AND g.c = floor(x0 + s / 2) AND g.r = floor(y0 + s / 2)""")
 def bbox_pixel_stats(spark, sf):
-    k = F.col("p_partkey")
-    x0, y0, s = k * 37 % 95 + F.lit(0.2), k * 91 % 90 + F.lit(0.2), F.col("p_size") % 5 + F.lit(0.6)
-    at = lambda x, y: F.struct(x.alias("x"), (-y).alias("y"))
-    ring = F.array(at(x0, y0), at(x0 + s, y0), at(x0 + s, y0 + s), at(x0, y0 + s), at(x0, y0))
-    shapes = table(spark, sf, "part").select(F.lit(0).alias("aoi_id"), k.alias("shape_id"), F.lit("Polygon").alias("kind"), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), ring.alias("points"))).alias("parts"))
-    cells = _grid_cells(spark, sf).withColumnRenamed("z", "probability")
-    size = cells.agg((F.max("row") + 1).alias("height")).select(F.lit(0).alias("aoi_id"), F.lit(0.0).alias("origin_x"), F.lit(0.0).alias("origin_y"), F.lit(1.0).alias("px_w"), F.lit(-1.0).alias("px_h"), "height", F.lit(100).alias("width"))
-    found = spatial.footprints(shapes, cells, size, 50.0)
-    return found.select(F.col("shape_id").alias("k"), "pixel_count", F.round("flooded_fraction", 6).alias("flooded_fraction"), F.round("mean_probability", 8).alias("mean_probability"), "sampled_centroid")
+    s = F.col("p_size") % 5 + F.lit(0.6)
+    return _shape_stats(spark, sf, "Polygon", lambda x, y: [(0, 0, [(x, y), (x + s, y), (x + s, y + s), (x, y + s)])])
+
+
+@query(f"""
+WITH {_GRID}, {_HEIGHT}, b AS (SELECT {_PLACED} FROM part, k),
+c AS (SELECT k, z, g.c + 0.5 - x0 AS x, g.r + 0.5 - y0 AS y FROM b JOIN g ON g.c + 0.5 > x0 AND g.c + 0.5 < x0 + 7 AND g.r + 0.5 > y0 AND g.r + 0.5 < y0 + 7)
+SELECT k, count(*) AS pixel_count, round(CAST(count(*) FILTER (z >= 50) AS DOUBLE) / count(*), 6) AS flooded_fraction, round(avg(z), 8) AS mean_probability, false AS sampled_centroid
+FROM c WHERE NOT (x > 3 AND x < 5 AND y < 4) AND NOT (x > 1 AND x < 3 AND y > 1 AND y < 3) AND NOT (y > 4 AND x - 4.1::DOUBLE > (y - 4) * 2.9::DOUBLE / 3) GROUP BY 1""")
+def concave_pixel_stats(spark, sf):
+    """Shapes with a bay, a slanted side and a hole."""
+    outer = [(0, 0), (3, 0), (3, 4), (5, 4), (5, 0), (7, 0), (7, 4), (4.1, 4), (7, 7), (0, 7)]
+    hole = [(1, 1), (3, 1), (3, 3), (1, 3)]
+    moved = lambda ring, x, y: [(x + a, y + b) for a, b in ring]
+    return _shape_stats(spark, sf, "Polygon", lambda x, y: [(0, 0, moved(outer, x, y)), (0, 1, moved(hole, x, y))])
 
 
 @query("""

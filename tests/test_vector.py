@@ -53,6 +53,44 @@ def test_footprints_against_brute_force(spark):
             assert got[k].mean_probability == pytest.approx(np.mean(own), abs=1e-6) and got[k].flooded_fraction == pytest.approx(np.mean(np.array(own) >= 0.5))
 
 
+def test_scan_lines_against_every_centre(spark):
+    """Stars with holes, in several parts, some of them beyond the grid or smaller than a cell."""
+    rng = np.random.default_rng(11)
+    grid = (85.0, 27.1, 0.01, -0.01, 40, 30)
+    shapes, rows = [], []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            x, y, n = 85 + rng.random() * 0.4 - 0.05, 27.1 - rng.random() * 0.5 + 0.05, int(rng.integers(3, 9))
+            turn, size = np.sort(rng.random(n)) * 2 * np.pi, rng.random(n) * (0.002 if k % 7 == 0 else 0.12)
+            star = [[x + np.cos(a) * d, y + np.sin(a) * d] for a, d in zip(turn, size)]
+            if k % 5 == 0:
+                star = [[round(a, 2) + 0.005, round(b, 2) + 0.005] for a, b in star]  # corners on centres
+            hole = [[x + (a - x) * 0.4, y + (b - y) * 0.4] for a, b in star]
+            parts.append([[*star, star[0]], [*hole, hole[0]]])
+        shapes.append(parts)
+        rows.append(("building", k, {}, "MultiPolygon", parts))
+    df = layers(spark, rows).withColumn("shape_id", F.col("osm_id"))
+    g = spark.sql("SELECT 'a' AS aoi_id, 85.0D AS origin_x, 27.1D AS origin_y, 0.01D AS px_w, -0.01D AS px_h, 40 AS height, 30 AS width")
+    got = {}
+    for r in spatial.polygon_cells(df, g).collect():
+        got.setdefault(r.shape_id, []).append((r.row, r.col))
+    total = 0
+    for k, parts in enumerate(shapes):
+        sides = [(*a, *b) for part in parts for ring in part for a, b in zip(ring, ring[1:])]
+        own = []
+        for r in range(grid[4]):
+            y = grid[1] + (r + 0.5) * grid[3]
+            for c in range(grid[5]):
+                x = grid[0] + (c + 0.5) * grid[2]
+                if sum((b > y) != (d > y) and x < a + (y - b) * (e - a) / (d - b) for a, b, e, d in sides) % 2:
+                    own.append((r, c))
+        assert sorted(got.get(k, [])) == own
+        total += len(own)
+    assert total > 1000
+    assert spatial.polygon_cells(df.where("false"), g).count() == 0
+
+
 def test_edge_probability(spark):
     df = spark.createDataFrame([(0, 0.0, 10.0), (0, 1.0, 10.0), (0, 1.0, 0.0), (1, None, 5.0)], "owner int, probability double, spacing double")
     got = {r.owner: r for r in lines.edge_probability(df, ["owner"]).collect()}
