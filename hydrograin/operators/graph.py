@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Isolation
 from ..functions import classify
 from . import lines
+from .paths import distances, spread
 from .spatial import nearest
 from .tables import connected_components, stage
 
@@ -77,34 +75,7 @@ def shortest(edges: list[tuple[int, int, float]], sources: list[int]) -> dict[in
     for u, v, w in edges:
         out.setdefault(u, []).append((v, w))
         out.setdefault(v, []).append((u, w))
-    done: dict[int, float] = {}
-    heap = [(0.0, s) for s in sources]
-    heapq.heapify(heap)
-    while heap:
-        d, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done[node] = d
-        for to, w in out.get(node, ()):
-            if to not in done:
-                heapq.heappush(heap, (d + w, to))
-    return done
-
-
-def distances(edges: DataFrame, sources: DataFrame, key: str = "aoi_id") -> DataFrame:
-    """(aoi_id, node_id, distance) from the nearest source, for nodes that can be reached.
-
-    One task per area: the graph is contracted, and its size bounded by the cap on areas.
-    """
-    kind = dict(edges.dtypes)[key]
-    both = edges.select(key, "u", "v", "length_m").unionByName(sources.select(key, F.col("node_id").alias("u"), F.lit(-1).alias("v"), F.lit(0.0).alias("length_m")))
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["v"] < 0
-        found = shortest(list(rows.loc[~own, ["u", "v", "length_m"]].itertuples(index=False, name=None)), rows.loc[own, "u"].tolist())
-        return pd.DataFrame({key: rows[key].iloc[0], "node_id": list(found.keys()), "distance": list(found.values())})
-
-    return both.groupBy(key).applyInPandas(solve, f"{key} {kind}, node_id int, distance double")
+    return spread(out, [(0.0, s) for s in sources])
 
 
 def relax(edges: DataFrame, sources: DataFrame, rounds: int | None = None, key: str = "aoi_id") -> DataFrame:
