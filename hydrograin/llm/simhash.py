@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyarrow.fs import FileType
@@ -195,7 +196,7 @@ def _near(words: np.ndarray, side: np.ndarray, octets: np.ndarray, radius: int,
     right = np.flatnonzero(side == 1) if across else left
     none = np.zeros(0, dtype=np.int64)
     found, size = [(none, none, none)], 0
-    step = max(16, (1 << 22) // max(1, len(right)))
+    step = max(16, (1 << 20) // max(1, len(right)))
     for at in range(0, len(left), step):
         rows = left[at : at + step]
         i, j = np.nonzero(np.bitwise_count(words[rows][:, None] ^ words[right][None, :]) <= radius)
@@ -336,9 +337,13 @@ def wide_distance(similarity: float, n_bits: int = STRETCH, deviations: float =
     return math.floor(n_bits * p + deviations * math.sqrt(n_bits * p * (1 - p)))
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, doc STRUCT of all columns, set LONG, fp BINARY) of each row, written out: its number, the hash and the SimHash of its shingle set."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
+def sketched(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sketches), both written out: rows (row, doc STRUCT of all columns), and (row, id, set LONG, fp BINARY), the hash and the SimHash of its shingle set.
+
+    Python sees row numbers and texts alone: other columns stay with Spark.
+    """
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,10 +354,9 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
                     h = np.unique(shingles(t, shingle))
                     names.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 7))
                     fps.append(wide(h, BITS))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())], ["row", "doc", "set", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())], ["row", "id", "set", "fp"])
 
-    schema = StructType([*rows.schema.fields[:2], StructField("set", LongType()), StructField("fp", BinaryType())])
-    return stage(rows.mapInArrow(of, schema))
+    return rows, stage(texts.mapInArrow(of, "row long, id long, set long, fp binary"))
 
 
 def close_links(links: DataFrame, points: DataFrame, most: int) -> DataFrame:
@@ -386,11 +390,11 @@ def picked(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
     dealt = ids.select("row", F.shiftright("row", 33).alias("part"))
     stage(dealt.groupBy("part").applyInArrow(write, "part long"))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fs, top = filesystem(folder)
         known: dict[int, np.ndarray] = {}
         for b in batches:
-            row = b.column(0).to_numpy()
+            row = b.to_numpy()
             part = row >> 33
             keep = np.zeros(len(row), bool)
             for p in np.unique(part).tolist():
@@ -399,27 +403,27 @@ def picked(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
                     there = fs.get_file_info(path).type == FileType.File
                     known = {p: np.frombuffer(fs.open_input_file(path).read() if there else b"", "<i8")}
                 keep |= (part == p) & np.isin(row, known[p], kind="sort")
-            yield b.filter(pa.array(keep))
+            yield pd.Series(keep)
 
-    return rows.mapInArrow(pick, rows.schema)
+    return rows.where(F.pandas_udf(among, "boolean")("row"))
 
 
-def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(rows: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between different shingle sets of rows (see sketched()), each of that Jaccard similarity or more; written out."""
-    points = stage(rows.groupBy("set").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
+    points = stage(sketches.groupBy("set").agg(F.min("row").alias("row"), F.min("fp").alias("fp")))
     near = near_links(points.select(F.col("set").alias("id"), "fp"), WIDE_BLOCKS, wide_distance(similarity), STRETCH, WIDE_SHARD, WIDE_CHUNK)
     near = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = stage(close_links(near, points, wide_distance(similarity, BITS, 3)))
     release(near)
     ends = points.select("set", "row").join(found.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set")
-    texts = picked(rows.select("row", "set", F.col("doc.text").cast("string").alias("text")), ends, new_folder(rows.sparkSession)).select("set", "text")
+    texts = picked(rows.select("row", F.col("doc.text").cast("string").alias("text")), ends, new_folder(rows.sparkSession)).select("text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [np.unique(shingles(t, shingle)).astype("<u8").tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["set", "members"])
+                sets = [np.unique(shingles(t, shingle)).astype("<u8").tobytes() for t in b.column(0).slice(at, 256).to_pylist()]
+                names = np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sets, pa.binary())], ["set", "members"])
 
     sets = stage(texts.mapInArrow(members, "set long, members binary"))
     release(points)
@@ -448,15 +452,15 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     wrong, and the share of links found is that of WIDE_BLOCKS. Texts with equal sets, null and empty ones among them, are
     copies. A null doc_id counts as larger than all others. All columns stay as they are, whatever their names.
     """
-    rows = sketched(docs, shingle)
-    links = similar_links(rows, shingle, similarity)
+    rows, sketches = sketched(docs, shingle)
+    links = similar_links(rows, sketches, shingle, similarity)
     component = connected_components(links)
     release(links)
-    order = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").cast("long").alias("id"), F.col("row"))
-    first = rows.groupBy("set").agg(F.min(order).alias("first"))
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", "row")
+    first = sketches.groupBy("set").agg(F.min(order).alias("first"))
     first = first.join(component, first["set"] == component["node"], "left").select(F.coalesce("component", "set").alias("c"), "first")
     kept = first.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return picked(rows.select("row", "doc"), kept, new_folder(docs.sparkSession)).select("doc.*")
+    return picked(rows, kept, new_folder(docs.sparkSession)).select("doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

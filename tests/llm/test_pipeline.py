@@ -79,9 +79,9 @@ def test_near_dedup_finds_nine_tenths_of_the_links_and_no_other(spark):
     texts = near_copies(120, 3, 160, 8)
     links = brute_links(texts)
     df = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(4)
-    rows = simhash.sketched(df, 5)
-    of = {r.set: r.doc.doc_id for r in rows.select("set", "doc.doc_id", "doc").collect()}
-    found = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash.similar_links(rows, 5, 0.8).collect()}
+    rows, sketches = simhash.sketched(df, 5)
+    of = {r.set: r.id for r in sketches.collect()}
+    found = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash.similar_links(rows, sketches, 5, 0.8).collect()}
     assert found <= set(links)
     reached, want = brute_groups(texts, found), brute_groups(texts, links)
     share = sum(reached[i] == reached[j] for i, j in links) / len(links)
