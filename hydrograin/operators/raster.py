@@ -130,19 +130,50 @@ def area_km2(n: Column, metres_x: Column, metres_y: Column) -> Column:
     return F.round(n * metres_x * metres_y / 1e6, 6)
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...], bins: int = 1024) -> DataFrame:
+    """(by, p: array of a double for each share): exact percentiles, interpolated between neighbours; null without values.
+
+    A first pass counts values in bins of equal width, a second one takes only the bins that a percentile lies in, equal
+    values as one: no task keeps a group's values, however many they are. NaN and infinite values must be null.
+    """
+    own = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    known = own.where("_v IS NOT NULL")
+    extent = known.groupBy(*by).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.count("*").alias("_n"))
+    width = (F.col("_mx") - F.col("_mn")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_mn")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    placed = known.join(extent, by).withColumn("_bin", place)
+    before = lambda w: F.sum("_c").over(w) - F.col("_c")
+    hist = placed.groupBy(*by, "_n", "_bin").agg(F.count("*").alias("_c"))
+    hist = hist.withColumn("_before", before(W.partitionBy(*by).orderBy("_bin")))
+    at = [F.lit(s) * (F.col("_n") - 1) for s in shares]
+    ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("slot"), f(x).cast("long").alias("rank")) for i, x in enumerate(at) for k, f in enumerate((F.floor, F.ceil))])
+    held = lambda c: F.filter(ranks, lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + c))
+    needed = hist.where(F.size(held(F.col("_c"))) > 0).select(*by, "_bin", "_before")
+    inner = placed.join(needed, [*by, "_bin"]).groupBy(*by, "_n", "_bin", F.col("_before").alias("_start"), "_v").agg(F.count("*").alias("_c"))
+    inner = inner.withColumn("_before", F.col("_start") + before(W.partitionBy(*by, "_bin").orderBy("_v")))
+    hit = inner.select(*by, "_n", "_v", F.explode(held(F.col("_c"))).alias("_r"))
+    found = hit.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r.slot", "_v"))).alias("_at"))
+
+    def between(i: int) -> Column:
+        low, high = F.element_at("_at", F.lit(2 * i)), F.element_at("_at", F.lit(2 * i + 1))
+        return F.when(F.floor(at[i]) == F.ceil(at[i]), low).otherwise((F.ceil(at[i]) - at[i]) * low + (at[i] - F.floor(at[i])) * high)
+
+    return own.select(*by).distinct().join(found.select(*by, F.array(*[between(i) for i in range(len(shares))]).alias("p")), by, "left")
+
+
 def band_stats(cells: DataFrame, bands: tuple[str, ...] = ("vv", "vh"), mask: str | None = "mask", key: str = "scene_id", above_db: float = 10.0) -> DataFrame:
     """Quality of each band: shares of nodata and non-finite pixels, percentiles of the valid ones, share above a level."""
     long = cells.select(key, F.explode(F.array(*[F.struct(F.lit(b.upper()).alias("band"), F.col(b).cast("double").alias("v"), (F.col(mask) if mask else F.lit(1)).alias("m")) for b in bands])).alias("x"))
     v, ok = F.col("x.v"), classify.usable(F.col("x.v"), F.col("x.m"))
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    p = F.percentile(F.when(ok, v), F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
     found = long.groupBy(key, F.col("x.band").alias("band")).agg(
         F.count("*").alias("pixels"),
         (100 * F.count_if(~ok) / F.count("*")).alias("nodata_pct"),
         (100 * F.count_if(~F.coalesce(finite, F.lit(False))) / F.count("*")).alias("nonfinite_pct"),
-        p.alias("_p"),
         F.coalesce(100 * F.try_divide(F.count_if(ok & (v > above_db)), F.count_if(ok)), F.lit(0.0)).alias("above_pct"),
     )
+    middle = percentiles(long.select(key, F.col("x.band").alias("band"), F.when(ok, v).alias("v")), [key, "band"], "v", (0.01, 0.5, 0.99))
+    found = found.join(middle.withColumnRenamed("p", "_p"), [key, "band"])
     return found.select(key, "band", "pixels", "nodata_pct", "nonfinite_pct", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(("p1", "p50", "p99"))], "above_pct")
 
 
@@ -164,10 +195,12 @@ def log_ratio_stats(post: DataFrame, pre: DataFrame, bands: tuple[str, ...] = ("
     d = F.when(ok, F.col("post") - F.col("pre"))
     share = lambda c: F.try_divide(100 * F.count_if(c), F.count("*"))
     found = long.groupBy(key, "band").agg(
-        share(ok).alias("overlap_pct"), F.percentile(d, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("_p"),
+        share(ok).alias("overlap_pct"),
         F.coalesce(100 * F.try_divide(F.count_if(d < drop_db), F.count(d)), F.lit(0.0)).alias("below_drop_pct"),
         share(F.col("post") <= classify.FLOOR_DB).alias("floor_post_pct"), share(F.col("pre") <= classify.FLOOR_DB).alias("floor_pre_pct"),
     )
+    middle = percentiles(long.select(key, "band", d.alias("v")), [key, "band"], "v", (0.01, 0.5, 0.99))
+    found = found.join(middle.withColumnRenamed("p", "_p"), [key, "band"])
     found = found.select(key, "band", "overlap_pct", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(("p1", "p50", "p99"))], "below_drop_pct", "floor_post_pct", "floor_pre_pct")
     return found.withColumn("warn", F.coalesce(F.abs("p50") > tolerance_db, F.lit(True)))
 

@@ -167,3 +167,14 @@ def test_band_quality(spark):
     r = raster.band_stats(df, ("vv",)).first()
     assert r.nodata_pct == 100 * 3 / 16 and r.nonfinite_pct == 100 / 16 and r.p50 == -16.0
     assert raster.band_warnings(raster.band_stats(df, ("vv",))).first().reason.startswith("VV nodata=18.8%>5%")
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    groups = {"many": rng.normal(size=5000), "ties": np.repeat([-60.0, -60.0, 1.5], 400), "far": np.append(rng.random(999), 1e12), "one": np.array([3.25]), "two": np.array([1.0, 2.0]), "none": np.array([])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [(k, None) for k in groups]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.p for r in raster.percentiles(df, ["k"], "v", (0.0, 0.01, 0.5, 0.99, 1.0), 64).collect()}
+    for k, v in groups.items():
+        assert got[k] is None if k == "none" else got[k] == pytest.approx(np.percentile(v, [0, 1, 50, 99, 100]), rel=1e-12)
+    assert got.keys() == groups.keys()
