@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import classify, geo, wkb
+from ..functions.numbers import half_even
 from ..operators import facts, lines, raster, spatial
 from ..operators.tables import stage
 
@@ -58,7 +59,7 @@ def buildings(layer: DataFrame, cells: DataFrame, grid: DataFrame, config: Confi
     return found.select(
         key, "osm_id", "osm_type", classify.status(f, possibly=d.possibly_affected_overlap_fraction, affected=d.affected_overlap_fraction).alias("status"),
         classify.confidence(f, F.col("sampled_centroid"), d.possibly_affected_overlap_fraction, d.affected_overlap_fraction, d.confidence_high_margin, d.confidence_medium_margin).alias("confidence"),
-        F.round(f, 4).alias("flooded_fraction"), F.round("mean_probability", 4).alias("mean_probability"), F.col("pixel_count").alias("pixels"), "clipped",
+        half_even(f, 4).alias("flooded_fraction"), half_even(F.col("mean_probability"), 4).alias("mean_probability"), F.col("pixel_count").alias("pixels"), "clipped",
         F.when(F.col("sampled_centroid"), "centroid").otherwise("footprint").alias("sampled"), F.col("point.x").alias("lon"), F.col("point.y").alias("lat"), "kind", "parts",
     )
 
@@ -79,8 +80,8 @@ def roads(layer: DataFrame, cells: DataFrame, grid: DataFrame, config: Config =
         key, "osm_id", "osm_type", _tag("highway").alias("highway"), _tag("name").alias("name"),
         classify.status(f, possibly=d.possibly_affected_overlap_fraction, affected=d.affected_overlap_fraction).alias("status"),
         classify.confidence(f, None, d.possibly_affected_overlap_fraction, d.affected_overlap_fraction, d.confidence_high_margin, d.confidence_medium_margin).alias("confidence"),
-        F.round(f, 4).alias("flooded_fraction"), F.round("mean_probability", 4).alias("flood_probability"), F.round("max_probability", 4).alias("max_probability"),
-        F.round(km, 6).alias("length_km"), F.round(f * km, 6).alias("flooded_length_km"), "clipped", "kind", "parts",
+        half_even(f, 4).alias("flooded_fraction"), half_even(F.col("mean_probability"), 4).alias("flood_probability"), half_even(F.col("max_probability"), 4).alias("max_probability"),
+        half_even(km, 6).alias("length_km"), half_even(f * km, 6).alias("flooded_length_km"), "clipped", "kind", "parts",
     )
 
 
@@ -107,7 +108,7 @@ def bridges(layer: DataFrame, cells: DataFrame, grid: DataFrame, config: Config
         key, "osm_id", "osm_type", _tag("name").alias("name"), _tag("highway").alias("highway"), classify.bridge_structure(F.col("tags")).alias("structure"),
         classify.bridge_status(f, d.possibly_affected_overlap_fraction).alias("status"),
         classify.confidence(f, F.col("sampled_centroid"), d.possibly_affected_overlap_fraction, d.affected_overlap_fraction, d.confidence_high_margin, d.confidence_medium_margin).alias("confidence"),
-        F.round(f, 4).alias("flooded_fraction"), F.round("mean_probability", 4).alias("mean_probability"), F.lit(d.bridge_buffer_m).alias("buffer_m"), F.round(F.col("length_m") / 1000, 6).alias("length_km"), "clipped", "kind", "parts",
+        half_even(f, 4).alias("flooded_fraction"), half_even(F.col("mean_probability"), 4).alias("mean_probability"), F.lit(d.bridge_buffer_m).alias("buffer_m"), half_even(F.col("length_m") / 1000, 6).alias("length_km"), "clipped", "kind", "parts",
     )
 
 

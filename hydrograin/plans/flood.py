@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import classify, geo
+from ..functions.numbers import half_even
 from ..operators import components, raster, terrain
 from ..operators.tables import stage
 
@@ -95,7 +96,7 @@ def pixel_area(n):
     x0, y0 = geo.to_utm(lon, lat, zone)
     x1, y1 = geo.to_utm(lon + F.col("px_w"), lat, zone)
     x2, y2 = geo.to_utm(lon, lat + F.col("px_h"), zone)
-    return F.round(n * F.abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 1e6, 6)
+    return half_even(n * F.abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 1e6, 6)
 
 
 def terrain_layers(dem: DataFrame, dem_grid: DataFrame, grid: DataFrame, direction: Column | str, accumulation: int = DEFAULT.upstream.accumulation_threshold, config: Config = DEFAULT, key: str = "aoi_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import classify, wkb
+from ..functions.numbers import half_even
 from ..operators import facts, graph, lines, spatial
 from ..operators.tables import stage
 from .damage import projected, sample
@@ -71,6 +72,6 @@ def isolation(layers: DataFrame, cells: DataFrame, grid: DataFrame, buildings: D
         homes = spatial.count_within(homes, hit, c.settlement_radius_m, "settlement_id", key).withColumnRenamed("n", "buildings_affected")
     found, summary = graph.solve(nodes, edges, to, homes, c, key)
     ranked = stage(graph.priority_rank(found, key))
-    ranked = ranked.withColumns({"snapped": F.col("node_id").isNotNull(), "snap_distance_m": F.round("distance", 2), "road_node": F.coalesce("node_id", F.lit(-1)), "priority_score": F.round("priority_score", 4)})
+    ranked = ranked.withColumns({"snapped": F.col("node_id").isNotNull(), "snap_distance_m": half_even(F.col("distance"), 2), "road_node": F.coalesce("node_id", F.lit(-1)), "priority_score": half_even(F.col("priority_score"), 4)})
     counts = facts.isolation_counts(ranked, summary, key)
     return Isolation(ranked, summary, counts, facts.facts(counts, facts.ISOLATION, "isolation", key), nodes, edges, closed)

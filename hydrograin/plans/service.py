@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,47 @@ def preflight(spark: SparkSession, request: Request, s1: DataFrame | None = None
     return found
 
 
+def selftest(spark: SparkSession, root: str, config: Config = DEFAULT) -> dict:
+    """Whether the parts work together, each tried for real: a query on executors, Python in a task, the shared folder, the configuration."""
+    from ..operators import raster
+    from ..operators.tables import release, stage
+    from ..sources import tiff
+
+    def query() -> None:
+        cells = spark.range(64).selectExpr("'a' AS aoi_id", "IF(id % 2 = 0, -4.0D, 0.5D) AS v")
+        found = raster.otsu(cells, "v").first()
+        if found["method"] != "otsu":
+            raise ValueError(found["method"])
+
+    def python() -> None:
+        files = spark.createDataFrame([("x", bytearray(tiff.encode(np.ones((3, 2, 2), "f4"), (85.0, 28.0), (1.0, 1.0))))], "path string, content binary")
+        if tiff.cells(files).count() != 4:
+            raise ValueError("cells are missing")
+
+    def shared() -> None:
+        table = stage(spark.range(3))
+        try:
+            if table.count() != 3:
+                raise ValueError("rows are missing")
+        finally:
+            release(table)
+
+    def files() -> None:
+        path = cache.store(Path(root) / ".selftest", config.hash().encode())
+        if cache.load(path) != config.hash().encode():
+            raise ValueError("content differs")
+        path.unlink()
+
+    checks = {}
+    for name, check in (("query", query), ("python", python), ("shared_folder", shared), ("cache_folder", files), ("config", lambda: Config.of(dataclasses.asdict(config)))):
+        try:
+            check()
+            checks[name] = "passed"
+        except Exception as e:  # whatever fails is the answer
+            checks[name] = f"failed: {str(e)[:200]}"
+    return {"status": "passed" if set(checks.values()) == {"passed"} else "failed", "checks": checks}
+
+
 def answer(spark: SparkSession, question: str, facts: DataFrame, lang: str = "en") -> str:
     """An answer whose numbers come from the facts (id, value) alone."""
     which = text.intent(F.lit(question))

@@ -120,3 +120,18 @@ def test_feature_filter(spark):
     assert f("highway", "amenity") == [False, False, False, True, True, False]
     with pytest.raises(ValueError):
         classify.feature_filter(["river"], F.col("tags"), F.col("k"))
+
+
+def test_half_even_agrees_with_exact_rounding(spark):
+    import random
+
+    from hydrograin.functions.numbers import half_even
+
+    rng = random.Random(9)
+    values = [2.675, 0.5, 1.5, 2.5, 0.125, 0.375, -2.675, -0.125, 1.005, 0.00005, 0.0, 1e300, -1e17, 4503599627370497.5, 0.1 + 0.2, 1 / 3]
+    values += [rng.randrange(10**6) / 10**rng.randrange(1, 7) for _ in range(3000)] + [rng.uniform(-1e3, 1e3) for _ in range(2000)] + [rng.randrange(-400, 400) / 2 ** rng.randrange(1, 8) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for digits in (0, 2, 4, 6, 9):
+        got = df.select("v", half_even(F.col("v"), digits).alias("r")).collect()
+        for r in got:
+            assert r.r is None if r.v is None else r.r == round(r.v, digits)

@@ -210,3 +210,10 @@ def test_large_raster_by_strips(spark, tmp_path):
         expected[own // 200, own % 200] = own
         assert (a[0] == expected).all() and g["height"] == 310
     assert len(rows) == 2 and {r.path.rpartition("/")[2] for r in rows} >= {"a.tif"}
+
+
+def test_selftest(spark, tmp_path):
+    found = service.selftest(spark, str(tmp_path))
+    assert found["status"] == "passed" and set(found["checks"]) == {"query", "python", "shared_folder", "cache_folder", "config"}
+    (tmp_path / "file").write_text("x")
+    assert "failed" in service.selftest(spark, str(tmp_path / "file" / "no"))["checks"]["cache_folder"]
