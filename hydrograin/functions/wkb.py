@@ -7,9 +7,10 @@ point geometry has one part of one point, a line string one part per line, a pol
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,14 +70,80 @@ def decode(raw: bytes | None) -> dict | None:
     return {"kind": KINDS[kind], "parts": parts} if parts else None
 
 
-def decode_series(raw: pd.Series) -> pd.DataFrame:
-    found = [decode(bytes(b)) if b is not None else None for b in raw]
-    return pd.DataFrame({"kind": [g and g["kind"] for g in found], "parts": [g and g["parts"] for g in found]})
+_XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_PART = pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("points", pa.list_(_XY))])
+
+
+def _u32(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Little-endian numbers at places of a buffer."""
+    return data[at[:, None] + np.arange(4)].astype(np.int64) @ (1 << np.array([0, 8, 16, 24]))
+
+
+def decode_batch(raw: pa.BinaryArray) -> pa.StructArray:
+    """(kind, parts) of each geometry, see decode(). Plain points, lines and polygons of one ring are read from the batch's
+    buffer at once; all others go one by one."""
+    n = len(raw)
+    offsets = np.frombuffer(raw.buffers()[1], np.int32 if pa.types.is_binary(raw.type) else np.int64)[raw.offset : raw.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
+    plain = ~raw.is_null().to_numpy(zero_copy_only=False) & (size >= 21)
+    plain[plain] = data[start[plain]] == 1
+    kind, count, first = np.zeros(n, np.int64), np.ones(n, np.int64), start + 5
+    kind[plain] = _u32(data, start[plain] + 1)
+    for code, skip in ((2, 9), (3, 13)):
+        own = plain & (kind == code)
+        if code == 3:
+            own[own] = _u32(data, start[own] + 5) == 1
+        count[own], first[own] = _u32(data, start[own] + skip - 4), start[own] + skip
+        plain &= own | (kind != code)
+    plain &= (kind >= 1) & (kind <= 3) & (count >= 1) & (size == first - start + 16 * count)
+    at = np.flatnonzero(plain)
+    n_points = count[at]
+    point_of = np.repeat(first[at], n_points) + 16 * (np.arange(n_points.sum()) - np.repeat(np.cumsum(n_points) - n_points, n_points))
+    xy = data[point_of[:, None] + np.arange(16)].view("<f8").reshape(-1, 2)
+    hollow = at[kind[at] == 1]
+    hollow = hollow[np.isnan(xy[(np.cumsum(n_points) - n_points)[kind[at] == 1], 0])]  # an empty point
+    names: list[str | None] = [None] * n
+    for i, k in zip(at.tolist(), kind[at].tolist()):
+        names[i] = KINDS[k]
+    # Parts of all rows, in order: (row, part, ring, number of points, first point among xy and then others).
+    rows, part, ring, sizes, begin, more = [at], [np.zeros(len(at), int)], [np.zeros(len(at), int)], [n_points], [np.cumsum(n_points) - n_points], [xy]
+    used = len(xy)
+    for i in np.flatnonzero(~plain).tolist():
+        if (g := decode(raw[i].as_py())) is not None:
+            names[i] = g["kind"]
+            for p in g["parts"]:
+                m = len(p["points"])
+                for to, value in ((rows, i), (part, p["part"]), (ring, p["ring"]), (sizes, m), (begin, used)):
+                    to.append(np.array([value]))
+                more.append(np.array([(q["x"], q["y"]) for q in p["points"]], float).reshape(-1, 2))
+                used += m
+    rows, part, ring, sizes, begin = (np.concatenate(x).astype(np.int64) for x in (rows, part, ring, sizes, begin))
+    if len(hollow):
+        keep = ~np.isin(rows, hollow)
+        rows, part, ring, sizes, begin = rows[keep], part[keep], ring[keep], sizes[keep], begin[keep]
+        for i in hollow.tolist():
+            names[i] = None
+    order = np.argsort(rows, kind="stable")
+    sizes, every = sizes[order], np.concatenate(more)
+    every = every[np.repeat(begin[order], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(every[:, k])) for k in (0, 1)], fields=list(_XY))
+    upto = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
+    lists = pa.ListArray.from_arrays(upto(sizes), points, type=pa.list_(_XY))
+    parts = pa.StructArray.from_arrays([pa.array(part[order], pa.int32()), pa.array(ring[order], pa.int32()), lists], fields=list(_PART))
+    none = pa.array([x is None for x in names], pa.bool_())
+    whole = pa.ListArray.from_arrays(upto(np.bincount(rows, minlength=n)), parts, type=pa.list_(_PART), mask=none)
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), whole], names=["kind", "parts"])
 
 
 def from_wkb(raw: Column) -> Column:
     """GEOMETRY of WKB bytes, in Arrow batches; both fields are null for what can't be read."""
-    return F.pandas_udf(decode_series, GEOMETRY)(raw)
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield decode_batch(b)
+
+    return F.arrow_udf(of, GEOMETRY)(raw)
 
 
 def encode(kind: str, coordinates: list) -> bytes:

@@ -135,3 +135,39 @@ def test_half_even_agrees_with_exact_rounding(spark):
         got = df.select("v", half_even(F.col("v"), digits).alias("r")).collect()
         for r in got:
             assert r.r is None if r.v is None else r.r == round(r.v, digits)
+
+
+def test_geometries_of_a_batch(spark):
+    """All at once, as one by one: plain ones, others, and what cannot be read."""
+    import random
+    import struct
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    pt = lambda: [rng.uniform(-180, 180), rng.uniform(-90, 90)]
+    ring = lambda n: (lambda r: [*r, r[0]])([pt() for _ in range(n)])
+    rows = [None, b"", b"\x01\x03", b"x" * 40, wkb.encode("LineString", []), wkb.encode("Point", [float("nan"), float("nan")]), wkb.encode("Polygon", [])]
+    for _ in range(400):
+        rows.append(
+            rng.choice(
+                [
+                    wkb.encode("Point", pt()), wkb.encode("LineString", [pt() for _ in range(rng.randrange(1, 9))]), wkb.encode("Polygon", [ring(rng.randrange(3, 9))]),
+                    wkb.encode("Polygon", [ring(4), ring(3)]), wkb.encode("MultiPolygon", [[ring(3)], [ring(5), ring(3)]]), wkb.encode("MultiLineString", [[pt(), pt()], [pt(), pt(), pt()]]),
+                    wkb.encode("LineString", [pt(), pt()])[:-3], struct.pack(">BIdd", 0, 1, *pt()), struct.pack("<BIddd", 1, 1001, *pt(), 7.0), None,
+                ]
+            )
+        )
+    for a in (pa.array(rows, pa.binary()), pa.array([b"zz", *rows], pa.binary()).slice(1)):
+        got = wkb.decode_batch(a).to_pylist()
+        for raw, g in zip(rows, got):
+            one = wkb.decode(raw)
+            assert g == (one or {"kind": None, "parts": None})
+    assert len(wkb.decode_batch(pa.array([], pa.binary()))) == 0
+    many = pa.array([wkb.encode("Polygon", [ring(5)]) for _ in range(60_000)], pa.binary())
+    began = time.perf_counter()
+    assert len(wkb.decode_batch(many)) == 60_000
+    print(f"60,000 footprints in {time.perf_counter() - began:.2f} s")
+    df = spark.createDataFrame([(bytearray(r) if r is not None else None,) for r in rows], "g binary").select(wkb.from_wkb(F.col("g")).alias("g"))
+    assert sum(r.g.parts is not None for r in df.collect()) == sum(wkb.decode(r) is not None for r in rows)
