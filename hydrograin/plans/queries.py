@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, text
+from ..functions import classify, geo, text, wkb
 from ..operators import components, facts, graph, lines, raster, scenes, spatial, terrain
 from ..operators.tables import connected_components
 
@@ -187,6 +187,25 @@ def concave_pixel_stats(spark, sf):
     return _shape_stats(spark, sf, "Polygon", lambda x, y: [(0, 0, moved(outer, x, y)), (0, 1, moved(hole, x, y))])
 
 
+@query(f"""
+WITH {_GRID}, {_HEIGHT}, b AS (SELECT s_suppkey AS k, s_suppkey * 37 % 88 + 0.3::DOUBLE AS x1, -(s_suppkey * 9173 % (height - 12) + 0.4::DOUBLE) AS y1, 2.0::DOUBLE + s_suppkey % 7 AS dx, -(1.0::DOUBLE + s_suppkey % 9) AS dy FROM supplier, k),
+c AS (SELECT k, z, x1, y1, dx, dy, g.c + 0.5::DOUBLE AS x, -(g.r + 0.5::DOUBLE) AS y FROM b JOIN g ON g.c BETWEEN x1 - 3 AND x1 + dx + 3 AND g.r BETWEEN -y1 - 3 AND -(y1 + dy) + 3),
+t AS (SELECT *, greatest(0, least(1, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM c)
+SELECT k, count(*) AS pixel_count, round(sum(z), 6) AS total FROM t WHERE (x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2 < 1.7::DOUBLE ** 2 GROUP BY 1""")
+def buffer_cells(spark, sf):
+    """Cells whose centre lies within a distance of a line."""
+    grid, k = _whole_grid(spark, sf), F.col("s_suppkey")
+    lines_ = table(spark, sf, "supplier").crossJoin(F.broadcast(grid.select("height")))  # the grid is one row
+    x1, y1 = k * 37 % 88 + F.lit(0.3), -(k * 9173 % (F.col("height") - 12) + F.lit(0.4))
+    x2, y2 = x1 + 2.0 + k % 7, y1 - (1.0 + k % 9)
+    side = F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    box = F.struct(x1.alias("min_x"), y2.alias("min_y"), x2.alias("max_x"), y1.alias("max_y"))
+    shapes = lines_.select(F.lit(0).alias("aoi_id"), k.alias("shape_id"), box.alias("box"), F.array(side).alias("edges"))
+    hits = spatial.covered_cells(shapes, grid, lambda x, y: wkb.distance_squared(F.col("edges"), x, y) < 1.7**2, 1.7)
+    found = hits.join(_grid_cells(spark, sf).select("row", "col", "z"), ["row", "col"])
+    return found.groupBy(F.col("shape_id").alias("k")).agg(F.count("*").alias("pixel_count"), F.round(F.sum("z"), 6).alias("total"))
+
+
 @query("""
 WITH w AS (SELECT l_orderkey, CASE WHEN l_discount = 0.03 THEN NULL ELSE l_discount END AS v, CASE WHEN l_quantity > 10 THEN l_quantity - 10 ELSE 1.0 END AS w FROM lineitem)
 SELECT l_orderkey, round(sum(v * w) / sum(w) FILTER (v IS NOT NULL), 9) AS mean_p, max(v) AS max_p, round(CAST(count(*) FILTER (v >= 0.05) AS DOUBLE) / count(*), 6) AS share FROM w GROUP BY 1""")
