@@ -197,17 +197,71 @@ def bounds(parts: Column) -> Column:
     return F.struct(F.array_min(flat("x")).alias("min_x"), F.array_min(flat("y")).alias("min_y"), F.array_max(flat("x")).alias("max_x"), F.array_max(flat("y")).alias("max_y"))
 
 
+def sides_of(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, sides): all sides (x1, y1, x2, y2) of the rings or lines of a batch of geometries, with the row of each."""
+    first = parts.offsets.to_numpy()
+    points = parts.values.field("points")
+    bounds = points.offsets.to_numpy()
+    xy = np.stack([points.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+    ring = np.arange(first[0], first[-1])
+    sizes = np.maximum(bounds[ring + 1] - bounds[ring] - 1, 0)
+    start = np.repeat(bounds[ring], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    owner = np.repeat(np.repeat(np.arange(len(parts)), np.diff(first)), sizes)
+    return owner, np.hstack([xy[start], xy[start + 1]])
+
+
+def pairs(*group: np.ndarray) -> np.ndarray:
+    """Places 0, 2, 4, ... of each run of equal groups that have a next one in their run."""
+    same = np.ones(max(0, len(group[0]) - 1), bool)
+    for g in group:
+        same &= g[1:] == g[:-1]
+    fresh = np.append(True, ~same)[: len(group[0])]
+    place = np.arange(len(fresh)) - np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+    return np.flatnonzero((place[:-1] % 2 == 0) & same) if len(fresh) else np.zeros(0, np.int64)
+
+
+def points_on(kind: pa.StringArray, parts: pa.ListArray) -> pa.StructArray:
+    """(x, y) on each geometry of a batch, see representative_point()."""
+    n, known = len(parts), parts.is_valid().to_numpy(zero_copy_only=False)
+    first = parts.offsets.to_numpy().astype(np.int64)
+    points = parts.values.field("points")
+    bounds = points.offsets.to_numpy().astype(np.int64)
+    xy = np.stack([points.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+    at = np.full((n, 2), np.nan)
+    some = known & (np.diff(first) > 0)
+    some[some] = bounds[first[:-1][some] + 1] > bounds[first[:-1][some]]
+    own = first[:-1][some]
+    at[some] = xy[bounds[own] + (bounds[own + 1] - bounds[own]) // 2]
+    area = some & np.array([k in ("Polygon", "MultiPolygon") for k in kind.to_pylist()], bool)
+    owner, sides = sides_of(parts)
+    x1, y1, x2, y2 = sides[area[owner]].T
+    owner = owner[area[owner]]
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
+    for y in (y1, y2):
+        np.minimum.at(low, owner, y)
+        np.maximum.at(high, owner, y)
+    level = ((low + high) / 2)[owner]
+    cuts = (y1 > level) != (y2 > level)
+    x = x1[cuts] + (level[cuts] - y1[cuts]) * (x2[cuts] - x1[cuts]) / (y2[cuts] - y1[cuts])
+    of = owner[cuts]
+    order = np.lexsort((x, of))
+    x, of = x[order], of[order]
+    a = pairs(of)
+    wide, middle, of = x[a + 1] - x[a], (x[a + 1] + x[a]) / 2, of[a]
+    order = np.lexsort((middle, wide, of))
+    last = order[np.append(of[order][1:] != of[order][:-1], True)] if len(order) else order
+    at[of[last], 0], at[of[last], 1] = middle[last], ((low + high) / 2)[of[last]]
+    return pa.StructArray.from_arrays([pa.array(at[:, k], mask=~some) for k in (0, 1)], names=["x", "y"])
+
+
 def representative_point(kind: Column, parts: Column) -> Column:
-    """(x, y) on the geometry: a point itself, the middle vertex of a line, the middle of a polygon's widest run at half height."""
-    first = F.get(parts, F.lit(0))["points"]
-    box, edges = bounds(parts), sides(parts)
-    y = (box["min_y"] + box["max_y"]) / 2
-    at = F.array_sort(F.transform(F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    runs = F.get(
-        F.transform(F.array(at), lambda a: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size(a))), lambda i: F.struct((F.get(a, i + 1) - F.get(a, i)).alias("w"), ((F.get(a, i) + F.get(a, i + 1)) / 2).alias("x")))),
-        F.lit(0),
-    )
-    inner = F.array_max(runs)["x"]
-    middle = F.get(first, F.floor(F.size(first) / 2).cast("int"))
-    area = kind.isin("Polygon", "MultiPolygon") & inner.isNotNull()
-    return F.struct(F.when(area, inner).otherwise(middle["x"]).alias("x"), F.when(area, y).otherwise(middle["y"]).alias("y"))
+    """(x, y) on the geometry: a point itself, the middle vertex of a line, the middle of a polygon's widest run at half height.
+
+    Both are null without a vertex.
+    """
+
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for k, p in batches:
+            yield points_on(k, p)
+
+    return F.arrow_udf(of, POINT)(kind, parts)

@@ -100,8 +100,9 @@ def scan_lines(owner: np.ndarray, sides: np.ndarray, grid: np.ndarray) -> tuple[
     of = owner[side]
     order = np.lexsort((x, row, of))
     of, row, x, side = of[order], row[order], x[order], side[order]
-    # Rings are closed, so each row of a shape has an even number of crossings.
-    a, b = slice(0, None, 2), slice(1, None, 2)
+    # Rings are closed, so each row of a shape has an even number of crossings; what an open one leaves over counts nothing.
+    a = wkb.pairs(of, row)
+    b = a + 1
     c0 = np.clip(_first_centre(x[a], ox[side[a]], pw[side[a]]), 0, width[side[a]])
     c1 = np.clip(_first_centre(x[b], ox[side[b]], pw[side[b]]), 0, width[side[b]])
     some = c1 > c0
@@ -121,17 +122,8 @@ def polygon_cells(shapes: DataFrame, grid: DataFrame, key: str = "aoi_id") -> Da
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                rings = part.column(2)
-                first = rings.offsets.to_numpy()
-                points = rings.values.field("points")
-                bounds = points.offsets.to_numpy()
-                xy = np.stack([points.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
-                ring_of = np.repeat(np.arange(part.num_rows), np.diff(first))
-                ring = np.arange(first[0], first[-1])
-                sizes = np.maximum(bounds[ring + 1] - bounds[ring] - 1, 0)
-                start = np.repeat(bounds[ring], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 g = np.stack([part.column(3 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(6)], axis=1)
-                owner, row, c0, c1 = scan_lines(np.repeat(ring_of, sizes), np.hstack([xy[start], xy[start + 1]]), g)
+                owner, row, c0, c1 = scan_lines(*wkb.sides_of(part.column(2)), g)
                 size = c1 - c0
                 upto = np.cumsum(size)
                 lo = 0

@@ -171,3 +171,19 @@ def test_geometries_of_a_batch(spark):
     print(f"60,000 footprints in {time.perf_counter() - began:.2f} s")
     df = spark.createDataFrame([(bytearray(r) if r is not None else None,) for r in rows], "g binary").select(wkb.from_wkb(F.col("g")).alias("g"))
     assert sum(r.g.parts is not None for r in df.collect()) == sum(wkb.decode(r) is not None for r in rows)
+
+
+def test_representative_points_of_a_batch(spark):
+    """Inside the widest run of any polygon, also where a neighbour in the batch is not closed or has no vertex."""
+    rings = {
+        0: ("Polygon", [[[0.0, 0.0], [10.0, 0.0], [10.0, 4.0], [0.0, 4.0], [0.0, 0.0]], [[1.0, 1.0], [4.0, 1.0], [4.0, 3.0], [1.0, 3.0], [1.0, 1.0]]]),
+        1: ("Polygon", [[[0.0, 0.0], [3.0, 0.0], [3.0, 2.0]]]),  # open
+        2: ("Polygon", [[[5.0, 0.0], [7.0, 0.0], [7.0, 2.0], [5.0, 2.0], [5.0, 0.0]]]),
+        3: ("LineString", [[0.0, 0.0], [1.0, 5.0], [2.0, 0.0]]),
+        4: ("Point", [8.0, 9.0]),
+        5: ("LineString", []),
+    }
+    df = spark.createDataFrame([(k, bytearray(wkb.encode(*g))) for k, g in rings.items()], "k int, g binary").coalesce(1)
+    found = df.select("k", wkb.from_wkb(F.col("g")).alias("g")).select("k", wkb.representative_point(F.col("g.kind"), F.col("g.parts")).alias("p"))
+    got = {r.k: (r.p.x, r.p.y) for r in found.collect()}
+    assert got[0] == (7.0, 2.0) and got[2] == (6.0, 1.0) and got[3] == (1.0, 5.0) and got[4] == (8.0, 9.0) and got[5] == (None, None) and got[1][0] is not None
