@@ -7,43 +7,135 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import geo, wkb
 from .raster import point_lookup
+from .tables import stage
 
 
-def _binned(points: DataFrame, size: float, around: bool, x: str, y: str) -> DataFrame:
-    bx, by = F.floor(F.col(x) / size), F.floor(F.col(y) / size)
-    if not around:
-        return points.withColumns({"_bx": bx, "_by": by})
+#: A bin is halved at most so often, until the bin of a point holds about so many positions.
+DEPTH, FEW = 12, 8
+#: Bounds on distances give way by so much, for rounding.
+_SLACK = 1e-12
+
+
+def _finite(x: str, y: str) -> Column:
+    """True where both are numbers, neither infinite nor missing."""
+    return (F.abs(x) < F.lit(float("inf"))) & (F.abs(y) < F.lit(float("inf")))
+
+
+def _bins(points: DataFrame, size: float, depth: int | Column) -> DataFrame:
+    """points with the numbers (_bx, _by) of their bins of size / 2 ** depth; a bin of depth 0 is slightly wider than size."""
+    at = lambda c: F.floor(F.col(c) / (size * (1 + 1e-9)) * F.pow(F.lit(2.0), F.lit(depth) if isinstance(depth, int) else depth))
+    return points.withColumns({"_bx": at("x"), "_by": at("y")})
+
+
+def _depth(positions: DataFrame, size: float, key: str) -> int:
+    """How often to halve bins of `size`: a position then shares its bin with FEW others on average, dense places counted by their positions."""
+    deep = positions.select(key, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("_l"))
+    held = _bins(deep, size, F.col("_l")).groupBy(key, "_l", "_bx", "_by").agg(F.count("*").cast("double").alias("n"))
+    mean = {r["_l"]: r["m"] for r in held.groupBy("_l").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+    return next((n for n in sorted(mean) if mean[n] <= FEW), min(mean, key=lambda n: (mean[n], n), default=0))
+
+
+def _boxes(bins: DataFrame, up: int, key: str) -> DataFrame:
+    """Extent and weight of what the bins (_bx, _by) hold, for bins 2 ** up times as large."""
+    b = bins.groupBy(key, F.shiftright("_bx", up).alias("_cx"), F.shiftright("_by", up).alias("_cy"))
+    return b.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("w").alias("w"))
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows over all shuffle partitions, however small they are: joins make many of few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _extents(placed: DataFrame, key: str) -> DataFrame:
+    return placed.groupBy(key, "_bx", "_by").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("w").alias("w"))
+
+
+def _bounds(pairs: DataFrame) -> DataFrame:
+    """pairs of boxes a and b with the squares of the least and greatest distance (_low, _high) of their points."""
+    a, b = F.col("a"), F.col("b")
+    gap = lambda c: F.greatest(F.lit(0.0), b[f"{c}0"] - a[f"{c}1"], a[f"{c}0"] - b[f"{c}1"])
+    span = lambda c: F.greatest(b[f"{c}1"] - a[f"{c}0"], a[f"{c}1"] - b[f"{c}0"])
+    square = lambda f: F.pow(f("x"), F.lit(2)) + F.pow(f("y"), F.lit(2))
+    return pairs.withColumns({"_low": square(gap) * (1 - _SLACK), "_high": square(span) * (1 + _SLACK)})
+
+
+def _meet(placed: DataFrame, others: DataFrame, depth: int, key: str, most: float, settle) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (_bx, _by, _cx, _cy) of a bin of `placed` and one of `others`, both of the last depth, that have to be compared point by point.
+
+    Bins of others are halved step by step, and settle(pairs with _low and _high) says what is left of them each time and
+    what is settled for a bin as a whole: so the number of pairs goes with the bins, whatever lies within `most`.
+    """
+    own, bins = stage(_extents(placed, key)), stage(_extents(others, key))
+    box = F.struct("x0", "x1", "y0", "y1")
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return points.withColumn("_o", F.explode(offsets)).withColumns({"_bx": bx + F.col("_o.i"), "_by": by + F.col("_o.j")}).drop("_o")
+    pairs = own.select(key, "_bx", "_by", box.alias("a"), F.explode(offsets).alias("_o"))
+    pairs = pairs.select(key, "_bx", "_by", "a", (F.shiftright("_bx", depth) + F.col("_o.i")).alias("_px"), (F.shiftright("_by", depth) + F.col("_o.j")).alias("_py"))
+    whole = None
+    for up in range(depth, -1, -1):
+        part = _boxes(bins, up, key).select(key, "_cx", "_cy", box.alias("b"), "w", *([F.col("_cx").alias("_px"), F.col("_cy").alias("_py")] if up == depth else [F.shiftright("_cx", 1).alias("_px"), F.shiftright("_cy", 1).alias("_py")]))
+        found = _bounds(_dealt(pairs, key, "_bx", "_by").join(part, [key, "_px", "_py"])).where(F.sqrt("_low") <= most)
+        found, done = settle(found)
+        if done is not None:
+            whole = done if whole is None else whole.unionByName(done)
+        pairs = found.select(key, "_bx", "_by", "a", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+    return pairs.select(key, "_bx", "_by", F.col("_px").alias("_cx"), F.col("_py").alias("_cy")), whole
 
 
 def nearest(points: DataFrame, nodes: DataFrame, most: float, point_id: str, node_id: str, key: str = "aoi_id") -> DataFrame:
     """points with the nearest node within `most` (lowest id on ties) and its distance; null for both where none is.
 
-    points (aoi_id, point_id, x, y); nodes (aoi_id, node_id, x, y). A point meets the nodes of the nine cells
-    of size `most` around it; candidates are reduced with map-side combine.
+    points (aoi_id, point_id, x, y); nodes (aoi_id, node_id, x, y). Equal positions count once. Positions lie in bins
+    that hold few nodes; a bin of points meets only bins of nodes that are not farther than the farthest corner of another.
     """
-    near = _binned(points.select(key, point_id, "x", "y"), most, True, "x", "y")
-    cells = _binned(nodes.select(key, node_id, F.col("x").alias("_nx"), F.col("y").alias("_ny")), most, False, "_nx", "_ny")
+    at = points.where(_finite("x", "y")).select(key, "x", "y").distinct().withColumn("w", F.lit(1))
+    to = stage(nodes.where(_finite("x", "y")).groupBy(key, "x", "y").agg(F.min(node_id).alias(node_id)))
+    depth = _depth(to, most, key)
+    at, to = stage(_bins(at, most, depth)), _bins(to.withColumn("w", F.lit(1)), most, depth)
+
+    def settle(pairs: DataFrame) -> tuple[DataFrame, None]:
+        return pairs.withColumn("_least", F.min("_high").over(W.partitionBy(key, "_bx", "_by"))).where("_low <= _least"), None
+
+    pairs, _ = _meet(at, to, depth, key, most, settle)
+    near = to.select(key, F.col("_bx").alias("_cx"), F.col("_by").alias("_cy"), node_id, F.col("x").alias("_nx"), F.col("y").alias("_ny"))
+    near = pairs.join(near, [key, "_cx", "_cy"]).select(key, "_bx", "_by", node_id, "_nx", "_ny")
     d2 = F.pow(F.col("x") - F.col("_nx"), F.lit(2)) + F.pow(F.col("y") - F.col("_ny"), F.lit(2))
-    found = near.join(cells, [key, "_bx", "_by"]).withColumn("_d2", d2).where(F.sqrt("_d2") <= most)
-    best = found.groupBy(key, point_id).agg(F.min(F.struct("_d2", node_id)).alias("_b"))
-    best = best.select(key, point_id, F.col(f"_b.{node_id}").alias(node_id), F.sqrt("_b._d2").alias("distance"))
-    return points.join(best, [key, point_id], "left")
+    found = _dealt(at, key, "_bx", "_by").join(near, [key, "_bx", "_by"]).withColumn("_d2", d2).where(F.sqrt("_d2") <= most)
+    best = found.groupBy(key, "x", "y").agg(F.min(F.struct("_d2", node_id)).alias("_b"))
+    best = best.select(key, "x", "y", F.col(f"_b.{node_id}").alias(node_id), F.sqrt("_b._d2").alias("distance"))
+    return points.join(best, [key, "x", "y"], "left").select(*[points[c] for c in points.columns], node_id, "distance")
 
 
 def count_within(centres: DataFrame, points: DataFrame, radius: float, centre_id: str, key: str = "aoi_id") -> DataFrame:
-    """centres with `n`, the number of points within the radius, 0 included."""
-    near = _binned(centres.select(key, centre_id, "x", "y"), radius, True, "x", "y")
-    cells = _binned(points.select(key, F.col("x").alias("_px"), F.col("y").alias("_py")), radius, False, "_px", "_py")
+    """centres with `n`, the number of points within the radius, 0 included.
+
+    Equal positions count once, with their number. Bins of points that lie within the radius of a whole bin of centres
+    count as wholes; only those that its circles may cut are looked at point by point.
+    """
+    at = centres.where(_finite("x", "y")).select(key, "x", "y").distinct().withColumn("w", F.lit(1))
+    to = stage(points.where(_finite("x", "y")).groupBy(key, "x", "y").agg(F.count("*").alias("w")))
+    depth = _depth(to, radius, key)
+    at, to = stage(_bins(at, radius, depth)), stage(_bins(to, radius, depth))
+    inside = F.col("_high") <= radius * radius
+
+    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = stage(pairs)
+        return pairs.where(~inside), pairs.where(inside).select(key, "_bx", "_by", "w")
+
+    pairs, whole = _meet(at, to, depth, key, radius, settle)
+    full = at.drop("w").join(whole.groupBy(key, "_bx", "_by").agg(F.sum("w").alias("w")), [key, "_bx", "_by"]).select(key, "x", "y", "w")
+    cells = to.select(key, F.col("_bx").alias("_cx"), F.col("_by").alias("_cy"), F.col("x").alias("_px"), F.col("y").alias("_py"), "w")
     d2 = F.pow(F.col("x") - F.col("_px"), F.lit(2)) + F.pow(F.col("y") - F.col("_py"), F.lit(2))
-    counted = near.join(cells, [key, "_bx", "_by"]).where(d2 <= radius * radius).groupBy(key, centre_id).agg(F.count("*").alias("n"))
-    return centres.join(counted, [key, centre_id], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    pairs = _dealt(pairs, key, "_bx", "_by", "_cx", "_cy")
+    cut = at.drop("w").join(pairs, [key, "_bx", "_by"]).join(cells, [key, "_cx", "_cy"]).where(d2 <= radius * radius).select(key, "x", "y", "w")
+    counted = full.unionByName(cut).groupBy(key, "x", "y").agg(F.sum("w").alias("n"))
+    found = centres.join(counted, [key, "x", "y"], "left")
+    return found.select(*[centres[c] for c in centres.columns], F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def covered_cells(shapes: DataFrame, grid: DataFrame, inside, pad: Column | float = 0.0, key: str = "aoi_id") -> DataFrame:

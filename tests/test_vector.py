@@ -211,3 +211,28 @@ def test_damage_and_isolation_stages(spark):
     assert total.settlements_total == 3 and total.settlements_newly_cut_off == 1 and total.road_km_severed > 0.9
     with pytest.raises(ValueError):
         damage_plan.damage(df, cells, grid, ["building"])
+
+
+def test_dense_places_meet_by_bins(spark, monkeypatch):
+    """Thousands of points and nodes within one radius: tried pairs stay few, results are those of brute force."""
+    rng = np.random.default_rng(5)
+    place = lambda n: np.concatenate([rng.integers(-40, 41, (n, 2)), np.round(rng.normal(300, 2, (n, 2)), 1), [[900, 900]]]).astype(float)
+    a, b = place(1500), place(1500)
+    frame = lambda xy, name: spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(1, -1, None, 0.0), (1, -2, float("nan"), 0.0)], f"aoi_id int, {name} int, x double, y double")
+    p, n = frame(a, "p"), frame(b, "n")
+    d = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    tried = []
+    met = spatial._meet
+
+    def counted(*args):
+        pairs, whole = met(*args)
+        tried.append((args[0], args[1], pairs))
+        return pairs, whole
+
+    monkeypatch.setattr(spatial, "_meet", counted)
+    got = {r.p: (r.n, r.distance) for r in spatial.nearest(p, n, 100.0, "p", "n").collect()}
+    assert got == {-1: (None, None), -2: (None, None), **{i: (int(row.argmin()), pytest.approx(float(np.sqrt(row.min())))) if row.min() <= 100**2 else (None, None) for i, row in enumerate(d)}}
+    assert {r.p: r.n for r in spatial.count_within(p, n, 100.0, "p").collect()} == {-1: 0, -2: 0, **{i: int(k) for i, k in enumerate((d <= 100**2).sum(axis=1))}}
+    for at, to, pairs in tried:
+        rows = at.join(pairs, ["aoi_id", "_bx", "_by"]).join(to.select("aoi_id", F.col("_bx").alias("_cx"), F.col("_by").alias("_cy")), ["aoi_id", "_cx", "_cy"]).count()
+        assert rows < 0.2 * (d <= 100**2).sum()
