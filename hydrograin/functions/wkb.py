@@ -179,11 +179,14 @@ def contains(edges: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def distance_squared(edges: Column, x: Column, y: Column) -> Column:
-    """Square of the distance from a point to the nearest side; null without sides."""
+def distance_squared(edges: Column, x: Column, y: Column, way=None) -> Column:
+    """Square of the distance from a point to the nearest side; null without sides.
+
+    way(side) gives its extent (dx, dy) where that is known better than by the difference of its ends.
+    """
 
     def one(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        dx, dy = way(e) if way else (e["x2"] - e["x1"], e["y2"] - e["y1"])
         t = F.coalesce(F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
         return F.pow(x - e["x1"] - t * dx, F.lit(2)) + F.pow(y - e["y1"] - t * dy, F.lit(2))

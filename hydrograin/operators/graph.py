@@ -11,44 +11,49 @@ from ..functions import classify
 from . import lines
 from .paths import distances, spread
 from .spatial import nearest
-from .tables import connected_components, stage
+from .tables import connected_components, numbered, stage
 
 CLASSES = ("newly_cut_off", "still_connected", "no_pre_event_access")
 
 
 def degrees(edges: DataFrame, key: str = "aoi_id") -> DataFrame:
-    ends = edges.select(key, F.col("u").alias("node_id")).union(edges.select(key, F.col("v").alias("node_id")))
+    ends = edges.select(key, F.explode(F.array("u", "v")).alias("node_id"))
     return ends.groupBy(key, "node_id").agg(F.count("*").alias("degree"))
 
 
 def contract(nodes: DataFrame, edges: DataFrame, key: str = "aoi_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, closed) after merging chains of nodes with two neighbours into single edges.
 
-    A chain is a component of edges that meet in such nodes. One with two different ends becomes an edge between
+    edges are those of merge_edges(): one for each pair of nodes. A chain is a component of edges that meet in such nodes. One with two different ends becomes an edge between
     them; one that closes on itself is kept edge by edge, and `closed` counts those edges per area. Parallel chains add up.
     Node ids are numbered anew in their old order.
     """
-    edges = stage(edges.withColumn("_e", F.xxhash64(key, "u", "v")))
-    two = degrees(edges, key).where("degree = 2").select(key, "node_id")
-    ends = edges.select(key, "_e", F.explode(F.array("u", "v")).alias("node_id"))
-    inner = ends.join(two, [key, "node_id"])
-    links = inner.groupBy(key, "node_id").agg(F.min("_e").alias("a"), F.max("_e").alias("b")).select("a", "b")
-    chain = edges.join(connected_components(links).withColumnRenamed("node", "_e"), "_e", "left").withColumn("_chain", F.coalesce("component", "_e")).drop("component")
+    edges = stage(edges)
+    two = stage(degrees(edges, key).where("degree = 2").select(key, "node_id"))
+    measures = ("length_m", "flood_probability", "max_probability", "flooded_length_m")
+    # Only edges at such nodes go through the steps; all others are kept as they are.
+    at_u, at_v = (two.select(key, F.col("node_id").alias(end), F.lit(True).alias(f"_{end}2")) for end in ("u", "v"))
+    edges = edges.join(at_u, [key, "u"], "left").join(at_v, [key, "v"], "left")
+    inner = F.col("_u2").isNotNull() | F.col("_v2").isNotNull()
+    chain = stage(edges.where(inner).select(key, "u", "v", *measures, F.xxhash64(key, "u", "v").alias("_e")))
+    links = chain.select(key, "_e", F.explode(F.array("u", "v")).alias("node_id")).join(two, [key, "node_id"])
+    links = links.groupBy(key, "node_id").agg(F.min("_e").alias("a"), F.max("_e").alias("b")).select("a", "b")
+    chain = chain.join(connected_components(links).withColumnRenamed("node", "_e"), "_e", "left").withColumn("_chain", F.coalesce("component", "_e")).drop("component")
     tips = chain.select(key, "_chain", F.explode(F.array("u", "v")).alias("node_id")).join(two, [key, "node_id"], "left_anti")
     tips = tips.groupBy(key, "_chain").agg(F.min("node_id").alias("_a"), F.max("node_id").alias("_b"))
     chain = stage(chain.join(tips, [key, "_chain"], "left").withColumn("_open", F.coalesce(F.col("_a") != F.col("_b"), F.lit(False))))
-    pieces = chain.select(
-        key, F.when(F.col("_open"), F.col("_a")).otherwise(F.col("u")).alias("u"), F.when(F.col("_open"), F.col("_b")).otherwise(F.col("v")).alias("v"),
-        "length_m", "flood_probability", "max_probability", "flooded_length_m",
-    )
-    merged = lines.merge_edges(pieces, key)
+    pieces = stage(chain.select(
+        key, F.least(F.when(F.col("_open"), F.col("_a")).otherwise(F.col("u")), F.when(F.col("_open"), F.col("_b")).otherwise(F.col("v"))).alias("u"),
+        F.greatest(F.when(F.col("_open"), F.col("_a")).otherwise(F.col("u")), F.when(F.col("_open"), F.col("_b")).otherwise(F.col("v"))).alias("v"), *measures,
+    ))
+    beside = pieces.select(key, "u", "v").distinct().withColumn("_beside", F.lit(True))
+    plain = edges.where(~inner).select(key, "u", "v", *measures).join(beside, [key, "u", "v"], "left")
+    merged = plain.where("_beside IS NULL").drop("_beside").unionByName(lines.merge_edges(pieces.unionByName(plain.where("_beside").drop("_beside")), key))
     lost = chain.where("_open").select(key, F.explode(F.array("u", "v")).alias("node_id")).join(two, [key, "node_id"]).distinct()
-    kept = nodes.join(lost, [key, "node_id"], "left_anti")
-    kept = kept.withColumn("_new", F.row_number().over(W.partitionBy(key).orderBy("node_id")) - 1)
-    number = kept.select(key, F.col("node_id").alias("_old"), "_new")
+    kept = numbered(nodes.join(lost, [key, "node_id"], "left_anti"), key, "node_id", "_new")
     renamed = merged
     for end in ("u", "v"):
-        renamed = renamed.join(number.withColumnRenamed("_old", end).withColumnRenamed("_new", f"_{end}"), [key, end]).drop(end).withColumnRenamed(f"_{end}", end)
+        renamed = renamed.join(kept.select(key, F.col("node_id").alias(end), F.col("_new").alias(f"_{end}")), [key, end]).drop(end).withColumnRenamed(f"_{end}", end)
     closed = chain.where("NOT _open").groupBy(key).agg(F.count("*").alias("cycle_segments"))
     return kept.drop("node_id").withColumnRenamed("_new", "node_id"), renamed, closed
 

@@ -10,6 +10,7 @@ import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Folders that stage() wrote within scratch(), innermost last.
@@ -77,6 +78,16 @@ def scratch() -> Iterator[None]:
             _delete(path)
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """df with each row's number from 0 within its key, by `order`: counted within ranges of rows, which add up, so no key has to fit into one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(df.repartitionByRange(parts, key, order).withColumn("_range", F.spark_partition_id()))
+    before = rows.groupBy(key, "_range").agg(F.count("*").alias("n"))
+    before = before.select(key, "_range", (F.sum("n").over(W.partitionBy(key).orderBy("_range")) - F.col("n")).alias("_before"))
+    at = F.row_number().over(W.partitionBy(key, "_range").orderBy(order)) - 1
+    return stage(rows.withColumn("_at", at).join(before, [key, "_range"]).withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_range"))
+
+
 def _pair_hash(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import classify
 from ..operators import components, facts, graph, lines, raster, terrain
+from ..operators.tables import stage
 from ..sources import features
 from .queries import _EDGES, _GRID, _edges, _grid_cells, query, table
 
@@ -187,7 +188,7 @@ def flow_accumulation(spark, sf):
 @query(f"WITH {_EDGES} SELECT round(sum(m), 3) AS length_m, round(sum(f), 3) AS flooded_m, round(sum(m * p), 3) AS weighted FROM e")
 def contracted_totals(spark, sf):
     """Contraction merges edges, but keeps their length, flooded length and length-weighted probability."""
-    edges = _edges(spark, sf)
+    edges = stage(_edges(spark, sf))
     nodes = edges.select("aoi_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
     merged = graph.contract(nodes, edges)[1]
     return merged.agg(F.round(F.sum("length_m"), 3).alias("length_m"), F.round(F.sum("flooded_length_m"), 3).alias("flooded_m"), F.round(F.sum(F.col("length_m") * F.col("flood_probability")), 3).alias("weighted"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, geo, text, wkb
 from ..operators import components, facts, graph, lines, raster, scenes, spatial, terrain
-from ..operators.tables import connected_components
+from ..operators.tables import connected_components, stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -197,11 +197,12 @@ def buffer_cells(spark, sf):
     grid, k = _whole_grid(spark, sf), F.col("s_suppkey")
     lines_ = table(spark, sf, "supplier").crossJoin(F.broadcast(grid.select("height")))  # the grid is one row
     x1, y1 = k * 37 % 88 + F.lit(0.3), -(k * 9173 % (F.col("height") - 12) + F.lit(0.4))
-    x2, y2 = x1 + 2.0 + k % 7, y1 - (1.0 + k % 9)
-    side = F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    dx, dy = k % 7 + F.lit(2.0), -(k % 9 + F.lit(1.0))  # x2 - x1 is rounded, and cells may lie just at the distance
+    x2, y2 = x1 + dx, y1 + dy
+    side = F.struct(x1.alias("x1"), y1.alias("y1"), dx.alias("dx"), dy.alias("dy"))
     box = F.struct(x1.alias("min_x"), y2.alias("min_y"), x2.alias("max_x"), y1.alias("max_y"))
     shapes = lines_.select(F.lit(0).alias("aoi_id"), k.alias("shape_id"), box.alias("box"), F.array(side).alias("edges"))
-    hits = spatial.covered_cells(shapes, grid, lambda x, y: wkb.distance_squared(F.col("edges"), x, y) < 1.7**2, 1.7)
+    hits = spatial.covered_cells(shapes, grid, lambda x, y: wkb.distance_squared(F.col("edges"), x, y, lambda e: (e["dx"], e["dy"])) < 1.7**2, 1.7)
     found = hits.join(_grid_cells(spark, sf).select("row", "col", "z"), ["row", "col"])
     return found.groupBy(F.col("shape_id").alias("k")).agg(F.count("*").alias("pixel_count"), F.round(F.sum("z"), 6).alias("total"))
 
@@ -532,7 +533,7 @@ def drainage_hand(spark, sf):
 @query(None)
 def contracted_graph(spark, sf):
     """The graph of parts and suppliers without its nodes of degree two; checked by golden tests."""
-    edges = _edges(spark, sf)
+    edges = stage(_edges(spark, sf))
     nodes = edges.select("aoi_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
     return graph.contract(nodes, edges)[1].select("u", "v", F.round("length_m", 4).alias("length_m"), F.round("flood_probability", 6).alias("p"))
 

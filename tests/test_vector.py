@@ -236,3 +236,19 @@ def test_dense_places_meet_by_bins(spark, monkeypatch):
     for at, to, pairs in tried:
         rows = at.join(pairs, ["aoi_id", "_bx", "_by"]).join(to.select("aoi_id", F.col("_bx").alias("_cx"), F.col("_by").alias("_cy")), ["aoi_id", "_cx", "_cy"]).count()
         assert rows < 0.2 * (d <= 100**2).sum()
+
+
+def test_contraction_touches_only_edges_at_chains(spark, monkeypatch):
+    """A dense core passes as it is; a chain between two of its nodes adds to their edge, and kept nodes are numbered in order."""
+    core = [(u, v, 1.0, 0.25, 0.5, 0.0) for u in range(0, 12, 2) for v in range(u + 2, 12, 2)]
+    chain = [(0, 1, 1.0, 1.0, 1.0, 1.0), (1, 2, 2.0, 1.0, 1.0, 2.0), (4, 20, 1.0, 0.0, 0.0, 0.0), (20, 21, 1.0, 0.0, 0.0, 0.0), (21, 30, 2.0, 1.0, 1.0, 2.0)]
+    edges = spark.createDataFrame([(7, *e) for e in core + chain], "aoi_id int, u int, v int, length_m double, flood_probability double, max_probability double, flooded_length_m double")
+    nodes = edges.select("aoi_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    merge, seen = lines.merge_edges, []
+    monkeypatch.setattr(lines, "merge_edges", lambda rows, *more: (seen.append(rows.count()), merge(rows, *more))[1])
+    kept, got, closed = graph.contract(nodes, edges)
+    number = {r: n for n, r in enumerate((0, 2, 4, 6, 8, 10, 30))}
+    want = {(number[u], number[v]): (1.0, 0.25, 0.5, 0.0) for u, v, *_ in core} | {(0, 1): (4.0, 3.25 / 4, 1.0, 3.0), (2, 6): (4.0, 0.5, 1.0, 2.0)}
+    assert {(r.u, r.v): (r.length_m, r.flood_probability, r.max_probability, r.flooded_length_m) for r in got.collect()} == want
+    assert sorted(r.node_id for r in kept.collect()) == list(range(7)) and closed.count() == 0
+    assert seen == [len(chain) + 1]
