@@ -66,3 +66,27 @@ def test_relax_goes_on_until_nothing_changes(spark):
     start = spark.createDataFrame([(0, 0)], "aoi_id int, node_id int")
     assert {r.node_id: r.distance for r in graph.relax(edges, start).collect()} == {i: float(i) for i in range(10)}
     assert {r.node_id: r.distance for r in graph.relax(edges, start, 1).collect()} == {0: 0.0, 1: 1.0, 9: 100.0}
+
+
+def test_cells_just_at_the_distance_of_a_line(spark, tmp_path):
+    """Supplier 5884 has cells at 1.7 from its line, but for rounding; its SQL takes the line's extent as it is given."""
+    import duckdb
+
+    spark.range(600_000).select(F.col("id").alias("event_id"), F.lit(1.0).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(5884,), (57,), (120,)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for name in ("events", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in queries.QUERIES["buffer_cells"](spark, str(tmp_path)).collect()) == sorted(con.execute(queries.ORACLES["buffer_cells"]).fetchall())
+
+
+def test_receivers_are_found_once_for_all_steps_of_a_trace(spark, tmp_path):
+    def marked(batches):
+        (tmp_path / os.urandom(8).hex()).touch()
+        yield from batches
+
+    received = spark.range(1, 30).selectExpr("0 AS aoi_id", "0 AS row", "CAST(id AS INT) AS col", "0 AS to_row", "CAST(id - 1 AS INT) AS to_col").coalesce(1)
+    received = received.mapInArrow(marked, received.schema)
+    got = terrain.trace_upstream(received, spark.createDataFrame([(0, 0, 0)], "aoi_id int, row int, col int"))
+    assert sorted((r.col, r.step) for r in got.collect()) == [(n, n) for n in range(30)]
+    assert len(list(tmp_path.iterdir())) == 1
