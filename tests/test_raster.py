@@ -1,3 +1,4 @@
+import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,18 @@ def test_percentiles_are_exact(spark):
     for k, v in groups.items():
         assert got[k] is None if k == "none" else got[k] == pytest.approx(np.percentile(v, [0, 1, 50, 99, 100]), rel=1e-12)
     assert got.keys() == groups.keys()
+
+
+def test_outlines_are_traced_many_in_a_task_across_batches(spark):
+    """Two components that touch only by labels, parts that spread over several batches; no Python call for each part."""
+    rows = [(a, 1, r, c) for a in ("x", "y") for r in range(4) for c in range(4)] + [("x", 2, r, c) for r in range(4) for c in (4, 5)] + [("x", 2, 5, 6), ("x", 2, 4, 8)]
+    labelled = spark.createDataFrame(rows, "aoi_id string, component int, row int, col int")
+    grid = spark.sql("SELECT explode(array('x', 'y')) AS aoi_id, 0D AS origin_x, 0D AS origin_y, 1D AS px_w, -1D AS px_h")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = components.polygons(labelled, grid)
+        got = sorted((r.aoi_id, r.component, r.part, r.pixel_count, json.loads(r.geometry)["coordinates"][0][2]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [("x", 1, 1, 16, [4.0, -4.0]), ("x", 2, 1, 10, [6.0, -4.0]), ("x", 2, 2, 10, [9.0, -5.0]), ("x", 2, 3, 10, [7.0, -6.0]), ("y", 1, 1, 16, [4.0, -4.0])]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
