@@ -36,7 +36,7 @@ def sample_lines(segs: DataFrame, spacing: float, by: list[str]) -> DataFrame:
     """Even stations of each line, both ends included, at most `spacing` apart: (by, station, sx, sy, spacing).
 
     A station's spacing is the way to the next one, 0 for the last. Each segment makes the stations that fall into
-    it, so lines need not be gathered.
+    it, so lines need not be gathered; the last station belongs to the segment that first gets to the end, so none is made twice.
     """
     line = W.partitionBy(*by)
     total = F.max("end").over(line)
@@ -45,13 +45,13 @@ def sample_lines(segs: DataFrame, spacing: float, by: list[str]) -> DataFrame:
     found = found.withColumn("_step", step)
     first = F.ceil(F.coalesce(F.try_divide(F.col("start"), F.col("_step")), F.lit(0.0))).cast("int")
     last = F.when(F.col("end") == F.col("_total"), F.col("_n") - 1).otherwise(F.ceil(F.try_divide(F.col("end"), F.col("_step"))).cast("int") - 1)
-    found = found.withColumns({"_a": F.when(F.col("start") == 0, 0).otherwise(first), "_b": F.least(last, F.col("_n") - 1)}).where("_b >= _a AND length > 0")
+    found = found.withColumns({"_a": F.when(F.col("start") == 0, 0).otherwise(first), "_b": F.least(last, F.col("_n") - 1)}).where("_b >= _a AND length > 0 AND start < _total")
     found = found.withColumn("station", F.explode(F.sequence("_a", "_b")))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("station") * F.col("_step") - F.col("start")) / F.col("length")))
     return found.select(
         *by, "station", (F.col("x") + t * (F.col("x2") - F.col("x"))).alias("sx"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("sy"),
         F.when(F.col("station") == F.col("_n") - 1, 0.0).otherwise(F.col("_step")).alias("spacing"), F.col("_total").alias("line_length"),
-    ).dropDuplicates([*by, "station"])
+    )
 
 
 def edge_probability(samples: DataFrame, by: list[str], value: str = "probability", spacing: str = "spacing", threshold: float = DEFAULT.flood.probability_threshold, weight: Column | None = None) -> DataFrame:

@@ -252,3 +252,11 @@ def test_contraction_touches_only_edges_at_chains(spark, monkeypatch):
     assert {(r.u, r.v): (r.length_m, r.flood_probability, r.max_probability, r.flooded_length_m) for r in got.collect()} == want
     assert sorted(r.node_id for r in kept.collect()) == list(range(7)) and closed.count() == 0
     assert seen == [len(chain) + 1]
+
+
+def test_a_last_segment_lost_in_rounding_makes_no_station_twice(spark):
+    """Without a table of all stations to find repeated ones: a segment that starts at the end of its line makes none."""
+    segs = lines.segments(spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1e9, 0.0), (1, 2, 1e9, 1e-9)], "l int, i int, x double, y double"), ["l"], ["i"])
+    found = lines.sample_lines(segs, 5e8, ["l"])
+    assert sorted((r.station, r.spacing) for r in found.collect()) == [(0, 5e8), (1, 5e8), (2, 0.0)]
+    assert "first(" not in found._jdf.queryExecution().optimizedPlan().toString()
