@@ -135,6 +135,12 @@ def own():
         return bpe.Bpe(f.read())
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        return tokenbin.Encoder(f.read())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_is_the_library(library, own, text):
@@ -152,6 +158,35 @@ def test_bpe_on_every_code_point(library, own):
         assert np.frombuffer(raw, "<u2").tolist() == want.ids, t
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text("'strevmldLa!1é\xa0\n ", max_size=40) | st.text(max_size=20) | st.sampled_from(TEXTS), max_size=8))
+def test_token_encoder_is_the_library(library, encoder, texts):
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
+
+
+def test_token_encoder_keeps_the_pieces_that_come_again(library, monkeypatch):
+    monkeypatch.setattr(tokenbin, "REMEMBERED", 100)
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        encoder = tokenbin.Encoder(f.read())
+    asked, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: asked.append(len(pieces)) or learn(pieces))
+    for i in range(40):
+        texts = [f"often also x{chr(97 + j)}{chr(97 + i % 26)}{'q' * (i // 26)}" for j in range(20)]
+        for t, x in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(x, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(encoder._known) + len(encoder._older) <= 100 + 2 * 22
+    assert sum(asked) == 2 + 40 * 20
+
+
+def test_token_encoder_takes_texts_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokenbin, "BLOCK", 100)
+    for sizes in ([], [0], [0, 0, 0], [500], [30] * 20, [5, 300, 0, 5, 99, 1, 400, 400]):
+        runs = list(tokenbin.blocks(sizes))
+        assert [k for a, b in runs for k in range(a, b)] == list(range(len(sizes)))
+        assert all(b - a == 1 or sum(sizes[a + 1 : b]) <= 100 for a, b in runs)
+
+
 def test_bpe_on_documents(spark, library):
     got = {r.doc_id: r for r in bpe.digests(bpe.encoded(docs(spark, *TEXTS), bpe.vocabulary())).collect()}
     for i, t in enumerate(TEXTS):
